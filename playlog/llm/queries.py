@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from playlog.llm import bpe, packing
+from playlog.llm import ann, bpe, chat, packing, quality
 
-_MODULES = (bpe, packing)
+_MODULES = (bpe, packing, chat, ann, quality)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
