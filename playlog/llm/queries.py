@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from playlog.llm import ann, bpe, chat, packing, pii, quality
+from playlog.llm import ann, bpe, chat, jaccard, packing, pii, quality
 
-_MODULES = (bpe, packing, chat, ann, quality, pii)
+_MODULES = (bpe, packing, chat, ann, quality, pii, jaccard)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
