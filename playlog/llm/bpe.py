@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from playlog.llm._spark import table, texts_of
 
 #: Runs and words remembered per worker; one that was dropped is encoded again.
-RUNS, WORDS = 500_000, 600_000
+RUNS, WORDS = 800_000, 1_200_000
 _LONG = 64
 #: Characters encoded at a time.
 SLICE = 2_000_000
@@ -65,7 +65,7 @@ class RunIds:
             runs.clear()
         if len(words) > WORDS:
             words.clear()
-        new = {c for part in split for c in part}
+        new: set[str] = set().union(*split)
         new.difference_update(runs)
         parts, missing = [], set()
         for run in new:
@@ -90,7 +90,8 @@ class RunIds:
             (runs if len(run) <= _LONG else long)[run] = ids
         if long:
             return [b"".join([runs[c] if c in runs else long[c] for c in part]) for part in split]
-        return [b"".join([runs[c] for c in part]) for part in split]
+        of = runs.__getitem__
+        return [b"".join(map(of, part)) for part in split]
 
 
 def fold(text: str) -> str:

@@ -39,8 +39,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 class CachedTokenizer:
     """ids of texts by the `tokenizers` library, each distinct word being encoded once
-    while it is remembered.  Words go to the library in lines, parted by a mark that is
-    always one id of its own."""
+    while it is remembered.  Words go to the library in lines and are told apart
+    by the ids that end a word or, where a word can have several, by a mark between."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,26 +48,37 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        (self.mark_id,) = self._ids(["|"])[0]
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.is_mark = np.zeros(size, dtype=bool)
+        self.is_mark[self._ids(["|"])[0]] = True
         self.known = RunIds(self._words)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        odd = [w for w in words if "|" in w]
-        for w, ids in zip(odd, self._ids(odd), strict=True):
-            out[w] = np.array(ids, dtype="<u4").tobytes()
-        plain = [w for w in words if "|" not in w]
-        lines = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-        for line, got in zip(lines, self._ids([" | ".join(line) for line in lines]), strict=True):
+    def _lines(self, words: list[str], gap: str, last: np.ndarray, skip: int, out: dict[str, bytes]) -> None:
+        """ids of words joined by `gap`; `last` tells the ids that end a word or, with
+        `skip` 1, stand between words."""
+        lines = [words[k : k + 256] for k in range(0, len(words), 256)]
+        for line, got in zip(lines, self._ids([gap.join(line) for line in lines]), strict=True):
             ids = np.array(got, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            ends = (np.flatnonzero(last[ids]) + 1 - skip).tolist()
             raw, at = ids.tobytes(), 0
-            for w, end in zip(line, ends, strict=True):
+            for w, end in zip(line, [*ends, len(ids)] if skip else ends, strict=True):
                 out[w] = raw[4 * at : 4 * end]
-                at = end + 1
+                at = end + skip
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        # Letters of Latin-1 are one piece of the rules, whose last id alone ends a word.
+        letters = [w for w in words if w.isalpha() and max(w) < "\xff"]
+        other = [w for w in words if not (w.isalpha() and max(w) < "\xff")]
+        self._lines(letters, " ", self.ends_word, 0, out)
+        self._lines([w for w in other if "|" not in w], " | ", self.is_mark, 1, out)
+        marked = [w for w in other if "|" in w]
+        for w, ids in zip(marked, self._ids(marked), strict=True):
+            out[w] = np.array(ids, dtype="<u4").tobytes()
         return [out[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
