@@ -106,3 +106,14 @@ def shingle_sets(texts: list[bytes], width: int, lower: bool = True) -> list[np.
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... for each range, all in one; no size is 0."""
+    total = int(size.sum())
+    step = np.ones(total, dtype=np.int64)
+    at = np.cumsum(size)[:-1]
+    if total:
+        step[0] = first[0]
+        step[at] = first[1:] - (first[:-1] + size[:-1] - 1)
+    return np.cumsum(step)

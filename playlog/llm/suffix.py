@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm._bytes import mix
+from playlog.llm._bytes import mix, ranges
 from playlog.llm._spark import table, texts_of
 
 LEAST = 50
@@ -147,17 +147,6 @@ def same_stretches(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> tupl
     return text, order[new]
 
 
-def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[0], first[0]+1, ... for each range, all in one."""
-    total = int(size.sum())
-    step = np.ones(total, dtype=np.int64)
-    at = np.cumsum(size)[:-1]
-    if total:
-        step[0] = first[0]
-        step[at] = first[1:] - (first[:-1] + size[:-1] - 1)
-    return np.cumsum(step)
-
-
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of `text` by their first `depth` bytes or more (a power of two times 8);
     the text is taken to go on with zeros."""
