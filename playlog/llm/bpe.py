@@ -25,31 +25,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from playlog.llm._bytes import ranges
 from playlog.llm._spark import table, texts_of
 
 #: Runs and words remembered per worker; one that was dropped is encoded again.
 RUNS, WORDS = 800_000, 1_200_000
 _LONG = 64
 #: Characters encoded at a time.
-SLICE = 2_000_000
+SLICE = 8_000_000
 #: Marks that end a word of the rules when they follow a letter up to the run's end.
 _MARKS = ".,|#&%$*!;:?"
-#: Control characters that str.split() takes for white space and the rules do not.
-_CONTROL = re.compile("[\x1c-\x1f]")
-_ASCII_GAPS = re.compile("[^ \t\n\x0b\x0c\r]+")
-
-
-def chunks(text: str) -> list[str]:
-    """Maximal runs without white space.  White space is dropped by the vocabulary's
-    rules and nothing matches across it, so runs can be encoded one by one."""
-    return _ASCII_GAPS.findall(text) if _CONTROL.search(text) else text.split()
 
 
 class RunIds:
     """ids of texts from ids of their words: `encode_words` is called once for each
-    word that isn't remembered.  A run without white space that ends in marks after a
+    word that isn't remembered.  White space is dropped by the rules and nothing
+    matches across it, so runs without it are encoded one by one.  A run that ends in marks after a
     letter is the word and the marks, since the rules part letters from marks."""
 
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]]):
@@ -57,41 +51,68 @@ class RunIds:
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [chunks(fold(x)) for x in texts]
-        runs, words = self.runs, self.words
-        if len(runs) > RUNS:
-            runs.clear()
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts in one array, and where each text's begin (and the last end)."""
+        split = pc.ascii_split_whitespace(pa.array([fold(x) for x in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        of = self._runs(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, of), dtype=np.int64, count=len(of)) >> 2
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(of), dtype="<i4")
+        code = coded.indices.to_numpy()
+        each = size[code]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        some = each > 0
+        ids = flat[ranges(first[code[some]], each[some])]
+        offsets = split.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """ids of distinct runs without white space."""
+        known, words = self.runs, self.words
+        if len(known) > RUNS:
+            known.clear()
         if len(words) > WORDS:
             words.clear()
-        new: set[str] = set().union(*split)
-        new.difference_update(runs)
+        out = [known.get(x) for x in runs]
         parts, missing = [], set()
-        for run in new:
-            word = run.rstrip(_MARKS)
-            if not word or len(word) == len(run) or not ("a" <= word[-1] < "\u0250" and word[-1].isalpha()):
-                word, marks = run, ""
-            else:
-                marks = run[len(word) :]
-            parts.append((run, word, marks))
-            if word not in words:
-                missing.add(word)
-            if marks and marks not in words:
-                missing.add(marks)
+        for i, ids in enumerate(out):
+            if ids is None:
+                run = runs[i]
+                word = run.rstrip(_MARKS)
+                marks = ""
+                if word and len(word) < len(run) and "a" <= word[-1] < "\u0250" and word[-1].isalpha():
+                    marks = run[len(word) :]
+                    if marks not in words:
+                        missing.add(marks)
+                else:
+                    word = run
+                parts.append((i, word, marks))
+                if word not in words:
+                    missing.add(word)
         order = list(missing)
-        long = {}
-        for word, ids in zip(order, self.encode_words(order), strict=True):
-            (words if len(word) <= _LONG else long)[word] = ids
-        for run, word, marks in parts:
-            ids = words[word] if word in words else long[word]
+        fresh = dict(zip(order, self.encode_words(order), strict=True))
+        words.update({w: x for w, x in fresh.items() if len(w) <= _LONG})
+        for i, word, marks in parts:
+            ids = fresh[word] if word in fresh else words[word]
             if marks:
-                ids += words[marks] if marks in words else long[marks]
-            (runs if len(run) <= _LONG else long)[run] = ids
-        if long:
-            return [b"".join([runs[c] if c in runs else long[c] for c in part]) for part in split]
-        of = runs.__getitem__
-        return [b"".join(map(of, part)) for part in split]
+                ids += fresh[marks] if marks in fresh else words[marks]
+            out[i] = ids
+            if len(runs[i]) <= _LONG:
+                known[runs[i]] = ids
+        return out
+
+
+def slices(texts: list[str], size: int = SLICE) -> Iterator[list[str]]:
+    """The texts in parts of about `size` characters."""
+    at = held = 0
+    for i, x in enumerate(texts):
+        held += len(x)
+        if held >= size:
+            yield texts[at : i + 1]
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
 
 
 def fold(text: str) -> str:
@@ -229,14 +250,9 @@ class SegmentTreeBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        at = 0
-        while at < len(texts):
-            to, held = at, 0
-            while to < len(texts) and held < SLICE:
-                held += len(texts[to])
-                to += 1
-            out += [np.frombuffer(x, dtype="<i4") for x in self.known.encode(texts[at:to])]
-            at = to
+        for part in slices(texts):
+            ids, at = self.known.encode(part)
+            out += [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return out
 
     def decode(self, ids: np.ndarray) -> str:

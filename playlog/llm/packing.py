@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlog.llm._spark import table, texts_of
-from playlog.llm.bpe import SLICE, RunIds, default_tokenizer
+from playlog.llm.bpe import RunIds, default_tokenizer, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -60,7 +60,7 @@ class CachedTokenizer:
     def _lines(self, words: list[str], gap: str, last: np.ndarray, skip: int, out: dict[str, bytes]) -> None:
         """ids of words joined by `gap`; `last` tells the ids that end a word or, with
         `skip` 1, stand between words."""
-        lines = [words[k : k + 256] for k in range(0, len(words), 256)]
+        lines = [words[k : k + 64] for k in range(0, len(words), 64)]
         for line, got in zip(lines, self._ids([gap.join(line) for line in lines]), strict=True):
             ids = np.array(got, dtype="<u4")
             ends = (np.flatnonzero(last[ids]) + 1 - skip).tolist()
@@ -81,8 +81,13 @@ class CachedTokenizer:
             out[w] = np.array(ids, dtype="<u4").tobytes()
         return [out[w] for w in words]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.known.encode(texts)
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        for part in slices(texts):
+            ids, at = self.known.encode(part)
+            raw, at = ids.tobytes(), at.tolist()
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                yield raw[4 * a : 4 * b]
 
 
 @functools.lru_cache(2)
@@ -100,18 +105,11 @@ def piece_sums(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached(tokenizer)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n, crcs, at = [], [], 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and held < SLICE:
-                    held += len(texts[to])
-                    to += 1
-                for ids in encoder.encode(texts[at:to]):
-                    ids += tail
-                    n.append(len(ids) // 4)
-                    crcs.append(np.array([zlib.crc32(ids[k : k + 4 * window]) for k in range(0, len(ids), 4 * window)], dtype="<u4").tobytes())
-                at = to
+            n, crcs = [], []
+            for ids in encoder.encode(batch.column("text").to_pylist()):
+                ids += tail
+                n.append(len(ids) // 4)
+                crcs.append(np.array([zlib.crc32(ids[k : k + 4 * window]) for k in range(0, len(ids), 4 * window)], dtype="<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.binary())], names=["doc_id", "n", "crcs"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n long, crcs binary")
