@@ -10,7 +10,7 @@ n - ceil(t n) + l n-grams of each (l: a twentieth of the lesser size), so nothin
 
 Blocks whose n-gram stands in many classes don't list their pairs: classes there that
 could be similar, by an upper bound of their overlap from counts per hash bin, are
-chained to each other.  The pairs and chains make candidate groups, and within each of
+chained to each other.  The pairs that this bound allows and the chains make candidate groups, and within each of
 these the product is done in full: breadth-first from class to class, exact overlaps are
 accumulated against all classes of the group not yet reached, so that a large group of
 near copies costs about one pass for each few of its members instead of all pairs.
@@ -242,6 +242,23 @@ def _chains(long: DataFrame, classes: DataFrame, t: int) -> DataFrame:
     return told.groupBy("gram").applyInArrow(chain, "u long, v long")
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
+    """The pairs whose overlap could be enough, by their counts per hash bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, BINS).astype(np.int32) for c in ("bins_u", "bins_v"))
+            n = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
+            bound = np.minimum(x, y).sum(1)
+            full = (x >= 65_535).any(1) | (y >= 65_535).any(1)
+            yield batch.select(["u", "v"]).filter(pa.array((100 * bound >= t * (n - bound)) | full))
+
+    told = pairs
+    for c in ("u", "v"):
+        told = told.join(classes.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")), c)
+    return told.mapInArrow(run, "u long, v long")
+
+
 def linked(sets: list[np.ndarray], t: int = THRESHOLD) -> np.ndarray:
     """Component number of each set: an incidence matrix times its transpose, row after
     row, against the sets not yet reached."""
@@ -316,7 +333,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHO
     limit = max(FREQUENT, count // 1000)
     product = cut(prefix_product(texts, _frequent(found, limit), max(12, count // BLOCK_DOCS), width, threshold))
     pairs = product.where("c is not null").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("least") / 20)))
-    edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_chains(product.where("c is null"), classes, threshold))
+    edges = _possible(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), classes, threshold).unionByName(_chains(product.where("c is null"), classes, threshold))
     roots = components(edges)
     groups = roots.join(classes.select("sig", "doc_id"), roots["node"] == F.col("sig")).select("sig", "doc_id", "root")
     settled = _verified(texts.where("doc_id is not null"), groups, max(12, count // 4096), width, threshold)
