@@ -180,23 +180,26 @@ def accepted_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUP
 
 
 def extract(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = SCORE) -> DataFrame:
-    """Per document `base` and `found`: arrays of (start, end, kind), by start and kind."""
+    """Per document `key`, a hash of its text, and `base` and `found`: arrays of (start, end,
+    kind), by start and kind."""
     spotted = cut(occurrences(docs))
     patterns = accepted_patterns(spotted, rounds, support, least)
     other = spotted.select("doc_id", "key", F.explode("other").alias("s")).select("doc_id", "key", "s.start", "s.end", "s.pattern")
     new = other.join(patterns, "pattern").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("new"))
     plain = spotted.select("doc_id", "key", F.array_sort(F.concat(*map(_ranked, KINDS))).alias("base"))
-    joined = plain.join(new, plain["doc_id"].eqNullSafe(new["doc_id"]) & (plain["key"] == new["key"]), "left").select(plain["doc_id"], "base", "new")
+    joined = plain.join(new, plain["doc_id"].eqNullSafe(new["doc_id"]) & (plain["key"] == new["key"]), "left").select(plain["doc_id"], plain["key"], "base", "new")
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     found = F.transform(F.coalesce("new", F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return joined.select("doc_id", "base", found.alias("found"))
+    return joined.select("doc_id", "key", "base", found.alias("found"))
 
 
 def redact(docs: DataFrame, **options: float) -> DataFrame:
     """All columns of `docs`, with `[KIND]` for each identifier in `text`."""
-    spans = extract(docs, **options)
-    keyed = spans.select(F.col("doc_id").alias("_id"), F.array_sort(F.concat("base", "found")).alias("_spans"))
-    return docs.join(keyed.dropDuplicates(["_id"]), docs["doc_id"].eqNullSafe(keyed["_id"]), "left").withColumn("text", masked(F.coalesce("text", F.lit("")), F.col("_spans"))).select(*docs.columns)
+    spans = extract(docs, **options).dropDuplicates(["doc_id", "key"])
+    keyed = spans.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_sort(F.concat("base", "found")).alias("_spans"))
+    text = F.coalesce("text", F.lit(""))
+    both = docs["doc_id"].cast("long").eqNullSafe(keyed["_id"]) & (F.xxhash64(text) == keyed["_key"])
+    return docs.join(keyed, both, "left").withColumn("text", masked(text, F.col("_spans"))).select(*docs.columns)
 
 
 def masked(text: Column, spans: Column) -> Column:

@@ -38,7 +38,7 @@ from playlog.llm._spark import table, texts_of
 LEAST = 50
 ANCHOR = 16
 #: Text bytes of a batch, of all anchors that meet in a bucket, and of a shard's share.
-BATCH, BUCKET, SHARD = 4_000_000, 48_000_000, 12_000_000
+BATCH, BUCKET, SHARD = 2_000_000, 24_000_000, 4_000_000
 _LAST = np.iinfo(np.int64).max
 _END = 0xFF  # never in UTF-8
 _CHUNK = 1 << 17
@@ -129,7 +129,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 def same_stretches(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each stretch the number of its text, and one stretch of each text.  Texts are
     told apart by 128 bits of hash."""
-    room = 1 << max(16, int(len(buf)).bit_length())
+    room = 1 << max(16, int(len(buf)).bit_length())  # few sizes, so that powers are kept
     keys = []
     with np.errstate(over="ignore"):
         for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
@@ -185,14 +185,14 @@ def bounded(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     with the one before it, by interval expansion on the Burrows-Wheeler transform."""
     n = len(text)
     bwt = text[order - 1]
-    into = np.argsort(bwt, kind="stable")  # from the first column to the last
-    back = np.empty(n, dtype=np.int64)
+    into = np.argsort(bwt, kind="stable").astype(np.int32)  # from the first column to the last
+    back = np.empty(n, dtype=np.int32)
     back[into] = np.arange(n)
     head = bwt[into]
     same = head[1:] == head[:-1]
-    after = np.full(n, n, dtype=np.int64)  # the next place with the same byte
+    after = np.full(n, n, dtype=np.int32)  # the next place with the same byte
     after[into[:-1][same]] = into[1:][same]
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[into[1:][same]] = into[:-1][same]
 
     bound = np.zeros(n + 1, dtype=bool)
@@ -208,7 +208,7 @@ def bounded(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         size = hi - lo
         at = ranges(lo, size)
         first = back[at[before[at] < np.repeat(lo, size)]]
-        last = back[at[after[at] >= np.repeat(hi, size)]] + 1
+        last = back[at[after[at] >= np.repeat(hi, size)]] + np.int32(1)
         first.sort()
         last.sort()
         fresh = ~bound[last]
@@ -243,8 +243,9 @@ _SALT_BUCKET, _SALT_SHARD = 0x1234567, 0x7654321
 class Plan:
     """How many batches, buckets and shards there are; the functions of the four steps."""
 
-    def __init__(self, size: int, least: int):
+    def __init__(self, size: int, least: int, characters: bool = False):
         self.least = least
+        self.characters = characters
         self.batches = max(1, -(-size // BATCH))
         self.buckets = max(12, -(-size // BUCKET))
         self.shards = max(12, -(-size // SHARD))
@@ -366,16 +367,17 @@ class Plan:
                 out["n_spans"].append(len(starts))
                 out["starts"].append(starts)
                 out["ends"].append(ends)
-                out["kept"].append(batch.buf[lo:hi][~mask].tobytes() if len(starts) else batch.texts[k])
+                kept = batch.buf[lo:hi][~mask].tobytes() if len(starts) else batch.texts[k]
+                out["kept"].append(kept.decode("utf-8", "ignore").encode() if self.characters else kept)
         return pa.table({k: pa.array(x, kinds[k]) for k, x in out.items()})
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its size, what is removed (`starts`, `ends` in bytes) and `kept`, the
-    bytes that stay."""
+    bytes that stay; with `characters` without what is left of a cut character."""
     texts = texts_of(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    plan = Plan(size, least)
+    plan = Plan(size, least, characters)
     dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(plan.batches)))
     by_batch = dealt.groupBy("batch")
     answer = "batch long, part int, shard boolean, data binary"
