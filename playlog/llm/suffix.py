@@ -138,7 +138,7 @@ def same_stretches(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> tupl
             np.cumsum(codes[buf] * _powers(base, room)[: len(buf)], out=sums[1:])
             inverse = _powers(pow(base, -1, 1 << 64), room)
             keys.append(mix((sums[first + size] - sums[first]) * inverse[first] + size.astype(np.uint64)))
-    order = np.lexsort(keys)
+    order = np.argsort(keys[0])  # should the first half alone be equal, a text may get several numbers
     a, b = (k[order] for k in keys)
     new = np.ones(len(order), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -152,7 +152,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     the text is taken to go on with zeros."""
     n = len(text)
     key = _eight(np.concatenate([text, np.zeros(7, np.uint8)]), big=True)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, dtype=bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -166,7 +166,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     while known < depth and len(slots):
         who = order[slots]
         key = (rank[who] << 32) | (rank[who + known] + 1)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         who, key = who[by], key[by]
         order[slots] = who
         new = np.ones(len(slots), dtype=bool)
@@ -351,10 +351,11 @@ class Plan:
             each = batch.windows
             flag = gone[ranges(at[text], each)] | np.repeat(later, each)
             hit = ranges(batch.first, each)[flag]
-            depth = np.zeros(len(batch.buf) + self.least + 1, dtype=np.int32)
-            np.add.at(depth, hit, 1)
-            np.add.at(depth, hit + self.least, -1)
-            off = np.cumsum(depth)[: len(batch.buf)] > 0
+            begun = np.zeros(len(batch.buf) + self.least, dtype=np.int32)
+            begun[hit + self.least] = 1
+            begun = np.cumsum(begun, dtype=np.int32)  # windows to go that ended before each place
+            off = np.zeros(len(batch.buf), dtype=bool)
+            off[: len(begun) - self.least] = begun[self.least :] > begun[: -self.least]
             nulls = docs.column("doc_id").to_pylist()
             for k, i in enumerate(batch.order):
                 lo, hi = int(batch.starts[k]), int(batch.ends[k])
