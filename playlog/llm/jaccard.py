@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm._bytes import mix, shingle_sets
+from playlog.llm._bytes import mix, release, shingle_sets
 from playlog.llm._spark import cut, table, texts_of
 from playlog.llm.graph import components
 
@@ -41,6 +41,7 @@ LISTED = 32
 #: n-grams in more classes than a thousandth of all, and more than FREQUENT, go last.  At
 #: most FREQUENT_KEPT are told to the tasks; which ones are only affects speed.
 FREQUENT, FREQUENT_KEPT = 64, 1_000_000
+#: Least number of hash bins of a set; larger sets have one for about eight n-grams.
 BINS = 128
 #: Bytes of text hashed at a time; documents per block of the prefix product.
 SLICE = 8_000_000
@@ -69,7 +70,19 @@ def signature(s: np.ndarray) -> int:
 
 
 def bins(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS), 65_535).astype("<u2")
+    """Counts of a set's hashes by their leading bits, a power of two of them."""
+    width = max(BINS, 1 << (max(1, len(s) // 8) - 1).bit_length())
+    shift = np.uint64(65 - width.bit_length())
+    return np.minimum(np.bincount((s >> shift).astype(np.int64), minlength=width), 65_535).astype("<u2")
+
+
+def _upper(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The most that a set with bins `x` can share with sets of the bins in `rows`."""
+    x, rows = x.astype(np.int32), rows.astype(np.int32)
+    x = np.where(x >= 65_535, 1 << 24, x)  # a full bin bounds nothing
+    rows = np.where(rows >= 65_535, 1 << 24, rows)
+    width = min(len(x), rows.shape[1])
+    return np.minimum(x.reshape(width, -1).sum(1), rows.reshape(len(rows), width, -1).sum(2)).sum(1)
 
 
 def _need(n: np.ndarray | int, t: int) -> np.ndarray | int:
@@ -98,6 +111,7 @@ def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     [batch.column("doc_id")[at : at + len(sets)], pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array([bins(s).tobytes() for s in sets], pa.binary()), pa.array(often, pa.binary())],
                     names=["doc_id", "n", "sig", "bins", "often"],
                 )
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n long, sig long, bins binary, often binary")
 
@@ -176,6 +190,7 @@ def prefix_product(docs: DataFrame, frequent: np.ndarray, blocks: int, width: in
                 names = ["block", "grams", "owner", "sigs", "sizes"]
                 kinds = [pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        release()
 
     def multiply(part: pa.Table) -> pa.Table:
         grams, cls, n = [], [], []
@@ -221,8 +236,13 @@ def _chains(long: DataFrame, classes: DataFrame, t: int) -> DataFrame:
         n = part.column("n").to_numpy()
         order = np.lexsort((sigs, n))
         sigs, n = sigs[order], n[order]
-        count = np.frombuffer(b"".join(part.column("bins").to_pylist()), dtype="<u2").reshape(len(sigs), BINS)[order].astype(np.int32)
-        full = (count >= 65_535).any(1)  # no bound is known for these
+        raw = [np.frombuffer(x, dtype="<u2") for x in part.column("bins").to_pylist()]
+        raw = [raw[i] for i in order]
+        wide = np.array([len(x) for x in raw])
+        stacked = {w: np.stack([raw[i] for i in np.flatnonzero(wide == w)]) for w in np.unique(wide).tolist()}
+        place = np.zeros(len(raw), dtype=np.int64)
+        for w in stacked:
+            place[wide == w] = np.arange(int((wide == w).sum()))
         left = np.arange(len(sigs))
         u, v = [], []
         while len(left):
@@ -230,8 +250,12 @@ def _chains(long: DataFrame, classes: DataFrame, t: int) -> DataFrame:
             while queue and len(left):
                 i = queue.popleft()
                 near = left[(100 * n[left] >= t * n[i]) & (t * n[left] <= 100 * n[i])]
-                bound = np.minimum(count[near], count[i]).sum(1)
-                near = near[(100 * bound >= t * (n[near] + n[i] - bound)) | full[near] | full[i]]
+                bound = np.zeros(len(near), dtype=np.int64)
+                for w, rows in stacked.items():
+                    some = wide[near] == w
+                    if some.any():
+                        bound[some] = _upper(raw[i], rows[place[near[some]]])
+                near = near[100 * bound >= t * (n[near] + n[i] - bound)]
                 u.append(np.full(len(near), sigs[i]))
                 v.append(sigs[near])
                 queue.extend(near.tolist())
@@ -247,11 +271,10 @@ def _possible(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, BINS).astype(np.int32) for c in ("bins_u", "bins_v"))
+            x, y = ([np.frombuffer(b, dtype="<u2") for b in batch.column(c).to_pylist()] for c in ("bins_u", "bins_v"))
             n = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
-            bound = np.minimum(x, y).sum(1)
-            full = (x >= 65_535).any(1) | (y >= 65_535).any(1)
-            yield batch.select(["u", "v"]).filter(pa.array((100 * bound >= t * (n - bound)) | full))
+            bound = np.array([_upper(a, b[None, :])[0] for a, b in zip(x, y, strict=True)], dtype=np.int64)
+            yield batch.select(["u", "v"]).filter(pa.array(100 * bound >= t * (n - bound)))
 
     told = pairs
     for c in ("u", "v"):
