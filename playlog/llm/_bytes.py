@@ -6,7 +6,11 @@ truncated; a batch is only a unit of work, never a limit on what is compared.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 
 #: Bytes that end a word: space and the five ASCII controls 0x09-0x0D.
 _SPACE = np.zeros(256, dtype=bool)
@@ -117,3 +121,14 @@ def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
         step[0] = first[0]
         step[at] = first[1:] - (first[:-1] + size[:-1] - 1)
     return np.cumsum(step)
+
+
+def release() -> None:
+    """Hands memory that a task has freed back to the system: Python workers stay for later
+    stages, beside executors that need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -28,14 +28,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from playlog.llm._bytes import ranges
+from playlog.llm._bytes import ranges, release
 from playlog.llm._spark import table, texts_of
 
 #: Runs and words remembered per worker; one that was dropped is encoded again.
-RUNS, WORDS = 800_000, 1_200_000
+RUNS, WORDS = 600_000, 900_000
 _LONG = 64
 #: Characters encoded at a time.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: Marks that end a word of the rules when they follow a letter up to the run's end.
 _MARKS = ".,|#&%$*!;:?"
 
@@ -46,8 +46,9 @@ class RunIds:
     matches across it, so runs without it are encoded one by one.  A run that ends in marks after a
     letter is the word and the marks, since the rules part letters from marks."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], most_runs: int = RUNS, most_words: int = WORDS):
         self.encode_words = encode_words
+        self.most = most_runs, most_words
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -70,9 +71,9 @@ class RunIds:
     def _runs(self, runs: list[str]) -> list[bytes]:
         """ids of distinct runs without white space."""
         known, words = self.runs, self.words
-        if len(known) > RUNS:
+        if len(known) > self.most[0]:
             known.clear()
-        if len(words) > WORDS:
+        if len(words) > self.most[1]:
             words.clear()
         out = [known.get(x) for x in runs]
         parts, missing = [], set()
@@ -309,6 +310,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        release()
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

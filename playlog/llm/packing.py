@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playlog.llm._bytes import release
 from playlog.llm._spark import table, texts_of
-from playlog.llm.bpe import RunIds, default_tokenizer, slices
+from playlog.llm.bpe import WORDS, RunIds, default_tokenizer, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -42,7 +43,7 @@ class CachedTokenizer:
     while it is remembered.  Words go to the library in lines and are told apart
     by the ids that end a word or, where a word can have several, by a mark between."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,7 +53,7 @@ class CachedTokenizer:
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.is_mark = np.zeros(size, dtype=bool)
         self.is_mark[self._ids(["|"])[0]] = True
-        self.known = RunIds(self._words)
+        self.known = RunIds(self._words, 2 * most_words // 3, most_words)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,20 +91,20 @@ class CachedTokenizer:
                 yield raw[4 * a : 4 * b]
 
 
-@functools.lru_cache(2)
-def cached(path: str) -> CachedTokenizer:
+@functools.lru_cache(1)
+def cached(path: str, most_words: int = WORDS) -> CachedTokenizer:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return CachedTokenizer(path)
+    return CachedTokenizer(path, most_words)
 
 
-def piece_sums(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def piece_sums(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, most_words: int = WORDS) -> DataFrame:
     """Per document `n`, its ids with the end id, and `crcs`, the CRC-32 of each piece."""
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = cached(tokenizer)
+        encoder = cached(tokenizer, most_words)
         for batch in batches:
             n, crcs = [], []
             for ids in encoder.encode(batch.column("text").to_pylist()):
@@ -111,6 +112,7 @@ def piece_sums(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
                 n.append(len(ids) // 4)
                 crcs.append(np.array([zlib.crc32(ids[k : k + 4 * window]) for k in range(0, len(ids), 4 * window)], dtype="<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.binary())], names=["doc_id", "n", "crcs"])
+        release()
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n long, crcs binary")
 
@@ -164,8 +166,9 @@ def min_bin_slack(lengths: list[int], window: int = WINDOW) -> list[list[int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Pieces of all documents with their place: `sequence_id` and `offset`."""
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, most_words: int = WORDS) -> DataFrame:
+    """Pieces of all documents with their place: `sequence_id` and `offset`.  `most_words`
+    bounds what a worker remembers, for where memory is shared with other stages."""
     shards = max(1, -(-docs.count() // shard_docs))
 
     def place(part: pa.Table) -> pa.Table:
@@ -193,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         out[5] = pa.array(np.array(out[5]) + (shard << 36), pa.int64())
         return pa.Table.from_arrays(out, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    summed = piece_sums(docs, tokenizer, window, end_id)
+    summed = piece_sums(docs, tokenizer, window, end_id, most_words)
     dealt = summed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "crcs"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(place, PIECES)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm._bytes import mix, ranges
+from playlog.llm._bytes import mix, ranges, release
 from playlog.llm._spark import table, texts_of
 
 LEAST = 50
@@ -329,6 +329,7 @@ class Plan:
         lowest = repeated_windows(buf, first[one], each[one], least, self.least)
         at = np.cumsum(each[one]) - each[one]
         gone = lowest[ranges(at[text], each)] < np.repeat(ids, each)
+        release()
         ends = np.cumsum([int(w.sum()) for w in windows])
         bits = [np.packbits(x).tobytes() for x in np.split(gone, ends[:-1])]
         return pa.table({"batch": part.column("batch"), "part": part.column("part"), "shard": pa.array([True] * len(bits)), "data": pa.array(bits, pa.binary())})
