@@ -1,0 +1 @@
+"""playlog: listening-history analytics as lazily composed Spark DataFrames."""
