@@ -124,7 +124,8 @@ def parse_dt(c: Column, number: Column | None = None) -> Column:
     shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?)?( ?(Z|[+-]\d{2}(:?\d{2})?))?$")
     plain = F.regexp_replace(F.regexp_replace(text, ",", "."), r"^(\S+)T", "$1 ")
     zoned = text.rlike(r"[T ].*(Z|[+-]\d{2}(:?\d{2})?)$")
-    filled = F.when(plain.rlike(r"^\S+ \d{2}$"), F.concat(plain, F.lit(":00"))).otherwise(plain)
+    filled = F.regexp_replace(plain, r"^(\S+ \d{2}) ?(Z|[+-].*)?$", "$1:00:00$2")
+    filled = F.regexp_replace(filled, r"^(\S+ \d{2}:\d{2}) ?(Z|[+-].*)?$", "$1:00$2")
     stamp = F.when(zoned, filled.try_cast("timestamp")).otherwise(F.concat(filled, F.lit("Z")).try_cast("timestamp"))
     day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit(" 00:00:00Z")).try_cast("timestamp"))
     return F.when(text == "", None).when(numeric, epoch).when(shaped, F.coalesce(day, stamp))
