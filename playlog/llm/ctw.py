@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm._bytes import mix, word_hashes
+from playlog.llm._bytes import mix, release, word_hashes
 from playlog.llm._spark import cut, table, texts_of
 
 DEPTH = 4
@@ -277,6 +277,7 @@ class Scorer:
         scale = math.log10(tokens + words + 1)
         sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (np.log10(count + 1) - scale, count > 0)]
         base, known = (s[at[1:]] - s[at[:-1]] for s in sums)
+        release()
         take = pa.array(order)
         columns = [docs.column("doc_id").take(take), docs.column("held_out").take(take), size + 1, known.astype(np.int64) + (ends > 0), base + math.log10(ends + 1) - scale, score, np.array([len(x) for x in texts])]
         return pa.table({name: c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for name, c, k in zip(names, columns, kinds, strict=True)})

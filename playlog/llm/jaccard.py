@@ -341,6 +341,7 @@ def _verified(docs: DataFrame, groups: DataFrame, shards: int, width: int, t: in
                 np.minimum.at(least, label, ids[members])
                 out_sig.append(sigs[members])
                 out_id.append(least[label])
+        release()
         return pa.table({"sig": pa.array(np.concatenate(out_sig) if out_sig else [], pa.int64()), "component_id": pa.array(np.concatenate(out_id) if out_id else [], pa.int64())})
 
     joined = docs.join(groups, "doc_id").withColumn("shard", F.pmod(F.xxhash64("root"), F.lit(shards)))

@@ -255,6 +255,7 @@ class Plan:
         order, edge = batch.by_part(self.buckets, _SALT_BUCKET)
         raw = batch.hash[order].view(np.uint8).reshape(-1, 8)[:, :5]
         out = [(b, raw[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if hi > lo]
+        release()
         return pa.table({"batch": pa.array([docs.column("batch")[0].as_py()] * len(out), pa.int64()), "bucket": pa.array([x[0] for x in out], pa.int32()), "data": pa.array([x[1] for x in out], pa.binary())})
 
     @staticmethod
@@ -312,6 +313,7 @@ class Plan:
                     out["bytes"].append(batch.buf[ranges(batch.first[runs], windows + self.least - 1)].tobytes())
                     out["windows"].append(windows.astype(np.uint8).tobytes())
                     out["ids"].append(batch.ids[batch.owner[runs]].tobytes())
+        release()
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(x, kind) for (k, x), kind in zip(out.items(), kinds, strict=True)})
 
@@ -371,6 +373,7 @@ class Plan:
                 out["ends"].append(ends)
                 kept = batch.buf[lo:hi][~mask].tobytes() if len(starts) else batch.texts[k]
                 out["kept"].append(kept.decode("utf-8", "ignore").encode() if self.characters else kept)
+        release()
         return pa.table({k: pa.array(x, kinds[k]) for k, x in out.items()})
 
 
