@@ -182,7 +182,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 def bounded(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """Whether each suffix in `order` (at its place there) shares fewer than `least` bytes
-    with the one before it, by interval expansion on the Burrows-Wheeler transform."""
+    with the one before it, by interval expansion on the Burrows-Wheeler transform.  The
+    text ends with a byte that stands in nothing that is compared; for prefixes that hold
+    it the answer may be off."""
     n = len(text)
     bwt = text[order - 1]
     into = np.argsort(bwt, kind="stable").astype(np.int32)  # from the first column to the last
