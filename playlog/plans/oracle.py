@@ -46,10 +46,10 @@ _BASE = f"""
 parts AS (
   SELECT p_partkey AS k, p_partkey::VARCHAR AS id, p_name AS title, p_brand AS artist, floor(sqrt(p_partkey))::INT AS a,
          p_type || '; ' || split_part(p_name, ' ', 2) AS genre, 1950 + p_size AS year, p_retailprice AS duration
-  FROM part WHERE p_partkey < 100),
+  FROM part),
 tracks AS (
   SELECT *, 'Álbum ' || (a % 5) AS album, a::VARCHAR AS album_key, CASE WHEN a < 5 THEN 'Artist X' ELSE 'artist-x' END AS owner,
-         (k - a * a + 1)::INT AS position, 2 * a + 1 AS total, (k - a * a + 1 + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END)::INT AS named,
+         (k - a * a + 1)::INT AS position, (count(*) OVER (PARTITION BY a))::INT AS total, (k - a * a + 1 + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END)::INT AS named,
          lower(CASE WHEN a < 5 THEN 'Artist X' ELSE 'artist-x' END) AS owner_key, min(1950 + 0 + year - 1950) OVER (PARTITION BY a) AS cat_year
   FROM parts),
 users AS (SELECT i::VARCHAR AS user_id, 'user-' || (i % 3) AS user_name FROM range(4) r(i)),
@@ -60,8 +60,8 @@ log AS (
   FROM events JOIN tracks t ON t.id = regexp_extract(props, '"k": ([0-9]+)', 1)
   WINDOW w AS (ORDER BY ts, event_id)),
 notes AS (
-  SELECT (o_custkey % 4)::VARCHAR AS user_id, (l_partkey % 100)::VARCHAR AS track_id, count(*) AS play_count, max(o_orderdate) AS last_played
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 100 % 3 <> 0 GROUP BY 1, 2)"""
+  SELECT (o_custkey % 4)::VARCHAR AS user_id, l_partkey::VARCHAR AS track_id, count(*) AS play_count, max(o_orderdate) AS last_played
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
 def _mode(rows: str, by: str, value: str, out: str) -> str:
