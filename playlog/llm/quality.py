@@ -187,12 +187,6 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else -1.0
 
 
-def _grid(quantiles: list[float]) -> list[float]:
-    """Distinct quantiles and the points halfway between them."""
-    q = sorted(set(quantiles))
-    return sorted({*q, *((a + b) / 2 for a, b in zip(q, q[1:]))})
-
-
 def _grown(rows: DataFrame, grids: dict[str, list[float]], rule: list[Condition]) -> Condition | None:
     """The condition to add, from counts of each grid cell among the rows of the rule."""
     names = list(grids)
@@ -212,11 +206,17 @@ def _grown(rows: DataFrame, grids: dict[str, list[float]], rule: list[Condition]
             p, n = p + a, n + b
             for above, x, y in ((False, p, n), (True, p0 - p, n0 - n)):
                 gain = _gain(x, y, p0, n0)
-                # of equally good thresholds the strictest, which rejects least that labels don't show
-                tie = best is not None and abs(gain - best[0]) <= 1e-9 and above and best[1].above and best[1].measure == names[k]
-                if gain > 0 and (best is None or gain > best[0] + 1e-9 or tie):
+                if gain > 0 and (best is None or gain > best[0] + 1e-9):
                     best = (gain, Condition(names[k], above, threshold))
-    return best[1] if best else None
+    return _centred(rows.where(_all(rule)), best[1]) if best else None
+
+
+def _centred(rows: DataFrame, c: Condition) -> Condition:
+    """The same parting of the rows with the threshold halfway between its two sides, so
+    that a document a little off the good ones seen isn't rejected."""
+    x = measures()[c.measure]
+    low, high = rows.agg(F.max(F.when(x <= c.threshold, x)), F.min(F.when(x > c.threshold, x))).collect()[0]
+    return c if low is None or high is None else Condition(c.measure, c.above, (low + high) / 2)
 
 
 def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> DecisionList:
@@ -227,7 +227,7 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> De
     named = measures()
     quantiles = [k / CELLS for k in range(1, CELLS)]
     found = known.agg(*[F.percentile_approx(x, quantiles, 2000).alias(name) for name, x in named.items()]).collect()[0]
-    grids = {name: _grid(found[name]) for name in named if found[name]}
+    grids = {name: sorted(set(found[name])) for name in named if found[name]}
     if not grids:
         return DecisionList()
 
