@@ -35,7 +35,8 @@ from playlog.llm._bytes import mix, release, shingle_sets
 from playlog.llm._spark import cut, table, texts_of
 from playlog.llm.graph import components
 
-WIDTH, THRESHOLD = 4, 85
+#: Words in a shingle and the least similarity in hundredths.
+WIDTH, THRESHOLD = 5, 80
 #: Classes an n-gram may stand in before its block chains them instead of listing pairs.
 LISTED = 32
 #: n-grams in more classes than a thousandth of all, and more than FREQUENT, go last.  At
@@ -368,7 +369,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHO
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_documents(table(spark, sf_dir, "documents"))
+    return join_documents(table(spark, sf_dir, "documents"), width=4, threshold=85)
 
 
 QUERIES = {"op5_jaccard": op5_jaccard}

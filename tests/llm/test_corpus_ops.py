@@ -44,11 +44,11 @@ def frame(spark, texts):
     return spark.createDataFrame([*rows, rows[3], (None, "no id at all here", 1, 2, "b", 3, "x")], CLASH)
 
 
-def linked_by_hand(rows):
+def linked_by_hand(rows, width, threshold):
     sets = {}
     for d, t in rows:
         w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
-        sets[d] = frozenset(zip(w, w[1:], w[2:], w[3:])) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+        sets[d] = frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
     root = {d: d for d in sets}
 
     def find(x):
@@ -60,22 +60,22 @@ def linked_by_hand(rows):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= threshold * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("listed", [32, 2])
-def test_jaccard_components(spark, monkeypatch, listed):
+@pytest.mark.parametrize(("listed", "width", "threshold"), [(32, 4, 85), (2, 5, 80)])
+def test_jaccard_components(spark, monkeypatch, listed, width, threshold):
     """Also with lists so short that most go through chains."""
     monkeypatch.setattr(jaccard, "LISTED", listed)
     df = frame(spark, corpus(1))
-    want = linked_by_hand([(r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] is not None])
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(df).collect()]
+    want = linked_by_hand([(r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] is not None], width, threshold)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(df, width, threshold).collect()]
     assert len(got) == df.count()
     for d, n, c in got:
-        assert (n, c) == (want[d] if d is not None else (2, None))
+        assert (n, c) == (want[d] if d is not None else (6 - width, None))
     assert jaccard.join_documents(df.limit(0)).count() == 0
 
 
