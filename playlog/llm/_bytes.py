@@ -86,15 +86,30 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     return words, np.searchsorted(first, starts)
 
 
+#: Bytes of text that are hashed at a time, so that few arrays of that length are held.
+_HASHED = 1_500_000
+
+
 def shingle_sets(texts: list[bytes], width: int, lower: bool = True) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its `width`-word shingles.  A text with
     fewer words gives its whole word sequence as one shingle; without words, none."""
+    out: list[np.ndarray] = []
+    at = held = 0
+    for i, x in enumerate(texts):
+        held += len(x)
+        if held >= _HASHED or i == len(texts) - 1:
+            out += _shingle_sets(texts[at : i + 1], width, lower)
+            at, held = i + 1, 0
+    return out
+
+
+def _shingle_sets(texts: list[bytes], width: int, lower: bool) -> list[np.ndarray]:
     words, at = word_hashes(texts, lower)
+    out = []
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
         for k in range(width):
             rolled = mix(rolled * _ODD + words[k : k + len(rolled)])
-        out = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= width:
                 h = np.sort(rolled[a : b - width + 1])
@@ -103,10 +118,10 @@ def shingle_sets(texts: list[bytes], width: int, lower: bool = True) -> list[np.
                 np.not_equal(h[1:], h[:-1], out=keep[1:])
                 out.append(h[keep])
             elif b > a:
-                h = np.uint64(b - a)
-                for w in words[a:b]:
-                    h = mix(np.array([h * _ODD + w], dtype=np.uint64))[0]
-                out.append(np.array([h ^ np.uint64(0x5555)], dtype=np.uint64))
+                h = np.array([b - a], dtype=np.uint64)
+                for k in range(a, b):
+                    h = mix(h * _ODD + words[k : k + 1])
+                out.append(h ^ np.uint64(0x5555))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
     return out
