@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +139,16 @@ def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-def release() -> None:
-    """Hands memory that a task has freed back to the system: Python workers stay for later
-    stages, beside executors that need it."""
+_released = 0.0
+
+
+def release(every: float = 8.0) -> None:
+    """Hands memory that a task has freed back to the system, if that wasn't done in the
+    last seconds: Python workers stay for later stages, beside executors that need it."""
+    global _released
+    if time.monotonic() - _released < every:
+        return
+    _released = time.monotonic()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -112,7 +112,7 @@ def piece_sums(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
                 n.append(len(ids) // 4)
                 crcs.append(np.array([zlib.crc32(ids[k : k + 4 * window]) for k in range(0, len(ids), 4 * window)], dtype="<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.binary())], names=["doc_id", "n", "crcs"])
-        release()
+        release(0)
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n long, crcs binary")
 

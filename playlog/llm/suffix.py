@@ -25,8 +25,6 @@ Rows that share an id don't remove each other's bytes.  Texts shorter than 50 by
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,23 +35,22 @@ from playlog.llm._spark import table, texts_of
 
 LEAST = 50
 ANCHOR = 16
-#: Text bytes of a batch, of all anchors that meet in a bucket, and of a shard's share.
-BATCH, BUCKET, SHARD = 2_000_000, 24_000_000, 4_000_000
+#: Text bytes of a batch, of all anchors that meet in a bucket, and of a shard's share; in
+#: how many texts, one after the other, a shard is transformed.
+BATCH, BUCKET, SHARD, PARTS = 2_000_000, 24_000_000, 16_000_000, 16
 _LAST = np.iinfo(np.int64).max
 _END = 0xFF  # never in UTF-8
 _CHUNK = 1 << 17
 
 
+def _loads(buf: np.ndarray, big: bool = False) -> np.ndarray:
+    """The eight bytes from each place on as one number (len - 7 of them), as a view."""
+    n = max(0, len(buf) - 7)
+    return np.ndarray((n,), dtype=">u8" if big else "<u8", buffer=buf if n else np.zeros(8, np.uint8), strides=(1,))
+
+
 def _eight(buf: np.ndarray, big: bool = False) -> np.ndarray:
-    """The eight bytes from each place on as one number (len - 7 of them)."""
-    n = len(buf)
-    if n < 8:
-        return np.zeros(0, np.uint64)
-    x = buf.astype(np.uint64)
-    for step in (1, 2, 4):
-        a, b, shift = x[:-step], x[step:], np.uint64(8 * step)
-        x = (a << shift) | b if big else a | (b << shift)
-    return x
+    return _loads(buf, big).astype(np.uint64)
 
 
 def window_anchors(buf: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -97,15 +94,15 @@ class Batch:
         self.starts = self.ends - np.array([len(x) for x in self.texts], dtype=np.int64)
         self.buf = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
         places, hashes = window_anchors(self.buf, least)
-        owner = np.repeat(np.arange(len(self.ids)), self.ends - self.starts)[: len(places)]
-        inside = np.flatnonzero(np.arange(len(places)) + least <= self.ends[owner])
+        size = self.ends - self.starts - (least - 1)  # windows inside each document
+        inside = ranges(self.starts[size > 0], size[size > 0])
         place = places[inside]
         new = np.ones(len(inside), dtype=bool)
         new[1:] = (place[1:] != place[:-1]) | (inside[1:] != inside[:-1] + 1)
         first = np.flatnonzero(new)
         self.first = inside[first]  # the run's first window
         self.windows = np.diff(np.append(first, len(inside)))
-        self.owner = owner[self.first]
+        self.owner = np.searchsorted(self.ends, self.first, side="right")
         self.hash = hashes[place[first]]
 
     def by_part(self, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,28 +115,20 @@ class Batch:
         self.first, self.windows, self.owner, self.hash = (x[runs] for x in (self.first, self.windows, self.owner, self.hash))
 
 
-@functools.lru_cache(4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
 def same_stretches(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each stretch the number of its text, and one stretch of each text.  Texts are
-    told apart by 128 bits of hash."""
-    room = 1 << max(16, int(len(buf)).bit_length())  # few sizes, so that powers are kept
-    keys = []
+    """For each stretch (of eight bytes or more) the number of its text, and one stretch of
+    each text.  Texts are told apart by 128 bits of hash over all their bytes."""
+    loads = _loads(buf)
+    a, b = size.astype(np.uint64), ~size.astype(np.uint64)
     with np.errstate(over="ignore"):
-        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-            sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-            codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
-            np.cumsum(codes[buf] * _powers(base, room)[: len(buf)], out=sums[1:])
-            inverse = _powers(pow(base, -1, 1 << 64), room)
-            keys.append(mix((sums[first + size] - sums[first]) * inverse[first] + size.astype(np.uint64)))
-    order = np.argsort(keys[0])  # should the first half alone be equal, a text may get several numbers
-    a, b = (k[order] for k in keys)
+        for at in range(0, int(size.max()) if len(size) else 0, 8):
+            x = loads[first + np.minimum(at, size - 8)]  # past the end the last eight bytes again
+            a = (a ^ x) * np.uint64(0x9E3779B97F4A7C15)
+            a ^= a >> np.uint64(32)
+            b = (b + x) * np.uint64(0xD6E8FEB86659FD93)
+            b ^= b >> np.uint64(29)
+    order = np.argsort(a)  # should the first half alone be equal, a text may get several numbers
+    a, b = a[order], b[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     text = np.empty(len(order), dtype=np.int64)
@@ -239,7 +228,7 @@ def repeated_windows(buf: np.ndarray, first: np.ndarray, windows: np.ndarray, id
     return of[starts]
 
 
-_SALT_BUCKET, _SALT_SHARD = 0x1234567, 0x7654321
+_SALT_BUCKET, _SALT_SHARD, _SALT_PART = 0x1234567, 0x7654321, 0x1357913
 
 
 class Plan:
@@ -303,7 +292,7 @@ class Plan:
         return {p: x for p, s, x in zip(*(answers.column(c).to_pylist() for c in ("part", "shard", "data")), strict=True) if s == shard}
 
     def stretches(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("batch", "part", "bytes", "windows", "ids")}
+        out: dict[str, list] = {k: [] for k in ("batch", "part", "bytes", "windows", "ids", "subs")}
         if docs.num_rows:
             batch, _, one, edge = self._candidates(docs, self._told(answers, False))
             for s, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
@@ -315,8 +304,9 @@ class Plan:
                     out["bytes"].append(batch.buf[ranges(batch.first[runs], windows + self.least - 1)].tobytes())
                     out["windows"].append(windows.astype(np.uint8).tobytes())
                     out["ids"].append(batch.ids[batch.owner[runs]].tobytes())
+                    out["subs"].append((mix(batch.hash[runs] ^ np.uint64(_SALT_PART)) % np.uint64(PARTS)).astype(np.uint8).tobytes())
         release()
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(x, kind) for (k, x), kind in zip(out.items(), kinds, strict=True)})
 
     def expand(self, part: pa.Table) -> pa.Table:
@@ -330,8 +320,13 @@ class Plan:
         text, one = same_stretches(buf, first, size)
         least = np.full(len(one), _LAST, dtype=np.int64)
         np.minimum.at(least, text, ids)
-        lowest = repeated_windows(buf, first[one], each[one], least, self.least)
+        subs = np.frombuffer(b"".join(part.column("subs").to_pylist()), dtype=np.uint8)[one]
         at = np.cumsum(each[one]) - each[one]
+        lowest = np.empty(int(each[one].sum()), dtype=np.int64)
+        for k in range(PARTS):
+            mine = np.flatnonzero(subs == k)
+            if len(mine):
+                lowest[ranges(at[mine], each[one[mine]])] = repeated_windows(buf, first[one[mine]], each[one[mine]], least[mine], self.least)
         gone = lowest[ranges(at[text], each)] < np.repeat(ids, each)
         release()
         ends = np.cumsum([int(w.sum()) for w in windows])
@@ -389,7 +384,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, characters: bool = False
     by_batch = dealt.groupBy("batch")
     answer = "batch long, part int, shard boolean, data binary"
     bits = by_batch.applyInArrow(lambda t: plan.anchors(t), "batch long, bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: plan.twice(t), answer)
-    stretches = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(lambda a, b: plan.stretches(a, b), "batch long, part int, bytes binary, windows binary, ids binary")
+    stretches = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(lambda a, b: plan.stretches(a, b), "batch long, part int, bytes binary, windows binary, ids binary, subs binary")
     masks = stretches.groupBy("part").applyInArrow(lambda t: plan.expand(t), answer)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary"
     return by_batch.cogroup(bits.unionByName(masks).groupBy("batch")).applyInArrow(lambda a, b: plan.remove(a, b), out)
