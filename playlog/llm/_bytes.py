@@ -142,10 +142,26 @@ def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 _released = 0.0
 
 
+def steady() -> None:
+    """Makes this process give large blocks back as soon as they're freed: Python workers
+    stay for later stages, beside executors that need the memory."""
+    global _released
+    if _released:
+        return
+    _released = 1.0
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # blocks from here on are mapped by themselves
+        libc.mallopt(-1, 16 << 20)  # free memory at the end of the heap that is kept
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def release(every: float = 8.0) -> None:
-    """Hands memory that a task has freed back to the system, if that wasn't done in the
-    last seconds: Python workers stay for later stages, beside executors that need it."""
+    """Hands freed memory back to the system, if that wasn't done in the last seconds."""
     global _released
+    steady()
     if time.monotonic() - _released < every:
         return
     _released = time.monotonic()
@@ -154,4 +170,4 @@ def release(every: float = 8.0) -> None:
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
-        pass  # another C library
+        pass

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm._bytes import mix, release, word_hashes
+from playlog.llm._bytes import mix, release, steady, word_hashes
 from playlog.llm._spark import cut, table, texts_of
 
 DEPTH = 4
@@ -44,6 +44,7 @@ _MASK = np.uint64(0xFF)
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """The gram of every byte and end mark, nearest context byte first and the byte itself
     last, and where each text's begin (and the last end)."""
+    steady()
     edge = bytes([_END])
     buf = np.frombuffer(b"".join([edge * depth + x.translate(_LOWER) + edge for x in texts]), dtype=np.uint8).astype(np.uint64)
     size = np.array([len(x) + 1 for x in texts], dtype=np.int64)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm._bytes import mix, release, shingle_sets
+from playlog.llm._bytes import mix, release, shingle_sets, steady
 from playlog.llm._spark import cut, table, texts_of
 from playlog.llm.graph import components
 
@@ -50,6 +50,7 @@ BLOCK_DOCS = 8_192
 
 
 def _slices(texts: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
+    steady()
     part: list[bytes] = []
     at = held = 0
     for i, x in enumerate(texts.cast(pa.binary()).to_pylist()):
@@ -194,6 +195,7 @@ def prefix_product(docs: DataFrame, frequent: np.ndarray, blocks: int, width: in
         release()
 
     def multiply(part: pa.Table) -> pa.Table:
+        steady()
         grams, cls, n = [], [], []
         for g, o, s, z in zip(*(part.column(c).to_pylist() for c in ("grams", "owner", "sigs", "sizes")), strict=True):
             o = np.frombuffer(o, dtype="<u4")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm._bytes import mix, ranges, release
+from playlog.llm._bytes import mix, ranges, release, steady
 from playlog.llm._spark import table, texts_of
 
 LEAST = 50
@@ -84,6 +84,7 @@ class Batch:
     share an anchor."""
 
     def __init__(self, docs: pa.Table, least: int):
+        steady()
         ids = docs.column("doc_id").fill_null(_LAST).to_numpy().astype(np.int64)
         texts = docs.column("text").cast(pa.binary()).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
@@ -251,6 +252,7 @@ class Plan:
 
     @staticmethod
     def twice(part: pa.Table) -> pa.Table:
+        steady()
         blobs = part.column("data").to_pylist()
         raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 5)
         gram = np.zeros((len(raw), 8), dtype=np.uint8)
@@ -311,6 +313,7 @@ class Plan:
 
     def expand(self, part: pa.Table) -> pa.Table:
         """A shard: one bit for each window of each stretch, whether a smaller id has it."""
+        steady()
         windows = [np.frombuffer(x, np.uint8).astype(np.int64) for x in part.column("windows").to_pylist()]
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in part.column("ids").to_pylist()])
         buf = np.frombuffer(b"".join(part.column("bytes").to_pylist()), dtype=np.uint8)
