@@ -169,8 +169,8 @@ def threaded(log: DataFrame, gap_minutes: int, hours: float, slack: int) -> Data
     df = df.withColumn("_chunk", F.sum("_new").over(own)).withColumn("prev", F.when(F.col("_new") == 0, F.col("prev")))
     # numbered by their first play; of equal times by the group first met, then in its order
     heads = df.where("_new = 1").withColumn("_group", F.min("gidx").over(Window.partitionBy(*key)))
-    heads = heads.select(*key, "_chunk", "at", F.col("_group").alias("seq"), F.col("_chunk").alias("_c"))
-    numbered = in_order(heads.select(*key, "_chunk", "at", (F.col("seq") * F.lit(1 << 20) + F.col("_c")).alias("seq")), ("at",)).select(*key, "_chunk", (F.col("gidx") + 1).alias("thread_id"))
+    placed = in_order(heads.select(*key, "_chunk", "at", F.struct("_group", "_chunk").alias("seq")), ("at",))
+    numbered = placed.select(*key, "_chunk", (F.col("gidx") + 1).alias("thread_id"))
     return df.join(numbered, [*key, "_chunk"])
 
 
