@@ -17,6 +17,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import zlib
 from collections import defaultdict
@@ -117,12 +118,15 @@ def piece_sums(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
     return texts_of(docs).mapInArrow(run, "doc_id long, n long, crcs binary")
 
 
-def fill(counts: dict[int, int], room: int) -> dict[int, int]:
+def fill(counts: dict[int, int], room: int, order: list[int] | None = None) -> dict[int, int]:
     """The sub-multiset of `counts` (length -> how many) with the largest sum up to
-    `room`, found by bitset subset sums, lengths in falling order."""
+    `room`, found by bitset subset sums, lengths in falling order.  `order`: the lengths,
+    rising, if they're at hand."""
     limit = (1 << (room + 1)) - 1
     reach, steps = 1, []
-    for length in sorted((x for x in counts if x <= room and counts[x]), reverse=True):
+    order = sorted(counts) if order is None else order
+    for at in range(bisect.bisect_right(order, room) - 1, -1, -1):
+        length = order[at]
         left, k = min(counts[length], room // length), 1
         while left:
             k = min(k, left)
@@ -152,7 +156,7 @@ def min_bin_slack(lengths: list[int], window: int = WINDOW) -> list[list[int]]:
     while order:
         largest = order[-1]
         counts[largest] -= 1
-        got = fill(counts, window - largest)
+        got = fill(counts, window - largest, order)
         got[largest] += 1
         counts[largest] += 1
         inside = []
