@@ -6,15 +6,22 @@ digests of known licence texts in the same form.  The units looked up are the wh
 document and each of its lines, since notices mostly stand on a line of their own.
 Digests are only made of units whose canonical length is that of a known text.
 
-The table of known texts is a parameter of fixed size, so it is broadcast.
+Known are KNOWN, which the SQL has too, the full texts in the folder license_texts
+(NAME.txt, with variants as NAME@2.txt) and the notices of NOTICES.  They are matched in a
+form that also makes alike what licences leave to their user: holders, the numbers of
+clauses, the verb of a notice.  The table is a parameter of fixed size, so it is broadcast.
 
 Defined results: null text is the empty text, which matches nothing.  `licenses` lists
 the matches of lines in order, repeated if a line repeats; `license` is the whole text's
-match or null.  Repeated rows give repeated results, apart from each other.
+match or null.  `digest` is that of the form that the SQL has, and what the SQL matches
+in that form stays matched.  Repeated rows give repeated results, apart from each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +63,67 @@ SPELLINGS = (
 )
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*$"
 _MARKS = r"[^\p{L}\p{N}]+"
+_TEXTS = Path(__file__).with_name("license_texts")
+_END = "END OF TERMS AND CONDITIONS"
+
+# Names of licences as they stand in notices, lower case without marks.
+_GNU = {"GPL": ("gnu general public license", "gnu gpl", "gpl", "general public license"), "LGPL": ("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl", "lesser general public license"), "AGPL": ("gnu affero general public license", "gnu agpl", "agpl", "affero general public license"), "GFDL": ("gnu free documentation license", "gnu fdl", "gfdl")}
+_GNU_VERSIONS = {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("3.0",), "GFDL": ("1.1", "1.2", "1.3")}
+_CC = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-NC": "attribution noncommercial", "BY-ND": "attribution noderivatives", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
+_NAMES = {
+    "MIT": ("mit", "mit x11", "expat", "x11"),
+    "ISC": ("isc",),
+    "0BSD": ("0bsd", "bsd zero clause", "zero clause bsd", "bsd 0 clause"),
+    "BSD-2-Clause": ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd", "two clause bsd", "bsd two clause"),
+    "BSD-3-Clause": ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd", "three clause bsd", "bsd three clause"),
+    "BSD": ("bsd", "bsd style"),
+    "Zlib": ("zlib", "zlib libpng"),
+    "BSL-1.0": ("boost software", "boost software license version 1 0", "boost software license 1 0", "bsl 1 0"),
+    "Unlicense": ("unlicense",),
+    "WTFPL": ("wtfpl", "do what the fuck you want to public"),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache license version 2", "apache 2 0", "apache 2", "apache v2", "apache v2 0", "apache software license version 2 0", "apache software license 2 0", "apache version 2 0"),
+    "MPL-1.1": ("mozilla public license version 1 1", "mozilla public license 1 1", "mozilla public license v1 1", "mpl 1 1"),
+    "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0", "mozilla public license v2 0", "mpl 2 0", "mpl2", "mpl v2 0"),
+    "EPL-1.0": ("eclipse public license version 1 0", "eclipse public license 1 0", "eclipse public license v1 0", "epl 1 0"),
+    "EPL-2.0": ("eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "epl 2 0"),
+    "Artistic-2.0": ("artistic license 2 0", "artistic license version 2 0"),
+    "OFL-1.1": ("sil open font license version 1 1", "sil open font license 1 1", "ofl 1 1"),
+    "CC0-1.0": ("cc0", "cc0 1 0", "cc0 1 0 universal", "creative commons zero", "creative commons cc0 1 0 universal", "creative commons zero v1 0 universal"),
+}
+
+
+def notices() -> dict[str, str]:
+    """Name by notice, in the form that `_noticed` gives: licensed under the <licence>."""
+    called = {f"{name} notice": list(x) for name, x in _NAMES.items()}
+    for family, titles in _GNU.items():
+        for version in _GNU_VERSIONS[family]:
+            spelt = version.replace(".", " ")
+            short = {spelt, spelt.removesuffix(" 0")}
+            for ending, words in (("", ("", " only")), ("-or-later", (" or later", " or any later version", " or at your option any later version", " or newer"))):
+                called[f"{family}-{version}{ending} notice"] = [f"{t}{v}{n}{w}" for t in titles for v in (" version ", " v", " v ", " ", "v") for n in short for w in words] + [f"{family.lower()}{v}{n}+" for v in (" v", " ", "v") for n in short if ending]
+    for short, long in _CC.items():
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            n, s = version.replace(".", " "), short.lower().replace("-", " ")
+            longs = {long, long.replace("sharealike", "share alike").replace("noncommercial", "non commercial").replace("noderivatives", "no derivatives")}
+            ends = ("", " international", " unported") if version in ("3.0", "4.0") else ("", " generic")
+            called[f"CC-{short}-{version} notice"] = [f"{t} {n}{e}" for t in (f"cc {s}", f"creative commons {s}", *(f"creative commons {x}" for x in longs), *(f"creative commons {x} license version" for x in longs)) for e in ends]
+    out: dict[str, str] = {}
+    for name, titles in called.items():
+        for t in titles:
+            for x in (t, f"{t} license") if not t.endswith(" license") else (t,):
+                out.setdefault("licensed under the " + x.replace("+", ""), name)
+    return out
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(name, text) of all that is looked up; texts that tell users how to apply them
+    count with that part and without."""
+    out = list(KNOWN.items())
+    for path in sorted(_TEXTS.glob("*.txt")):
+        name, text = path.stem.split("@")[0], path.read_text(encoding="utf-8")
+        head, mark, _ = text.partition(_END)
+        out += [(name, x) for x in ((text, head, head + mark) if mark else (text,))]
+    return out + [(name, text) for text, name in notices().items()]
 
 
 def canonical(text: Column) -> Column:
@@ -67,22 +135,54 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """`name`, `size` and `digest` of each known text's canonical form."""
-    known = KNOWN if known is None else known
-    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text in sorted(known.items())])
-    texts = spark.range(1).select(F.explode(rows).alias("r")).select("r.name", canonical(F.col("r.text")).alias("form"))
+# What users of a licence fill in or choose, over lower-case words.
+_FILLED = (
+    (r"neither the names? .{1,160}? nor the names? of (?:(?:its|their|any|other) )*contributors", "neither the name of the holder nor the names of its contributors"),
+    (r"software is provided by .{1,120}? as is and any express", "software is provided by the holder as is and any express"),
+    (r"in no event shall .{1,120}? be liable for", "in no event shall the holder be liable for"),
+    (r"(?<![^ ])(?:[0-9]{1,2}|[a-c]|i{1,3}) (?=redistributions (?:of source|in binary)|neither the name)", ""),
+)
+_NOTICE = r"^(?:(?:this|the) (?:[a-z]+ ){1,3}(?:is|are) )?(?:dual )?(?:licensed|released|distributed|available|made available|published|provided|covered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?"
+
+
+def _noticed(form: Column) -> Column:
+    out = F.regexp_replace(form, _NOTICE, "licensed under the ")
+    return F.regexp_replace(F.regexp_replace(out, r"^spdx license identifier ", "licensed under the "), r"^(licensed under the .*version .*) of the license$", "$1")
+
+
+def matched(form: Column) -> Column:
+    """`canonical` texts with what their users fill in made alike."""
+    filled = form
+    for a, b in _FILLED:
+        filled = F.regexp_replace(filled, a, b)
+    filled = F.when(form.contains("redistributions") | form.contains("in no event shall"), filled).otherwise(form)
+    return F.when(filled.contains(" under ") | filled.startswith("spdx "), _noticed(filled)).otherwise(filled)
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]], form: Callable[[Column], Column]) -> DataFrame:
+    """`name`, `size` and `digest` of each known text's form."""
+    texts = spark.createDataFrame(known, "name string, text string").select("name", form(F.col("text")).alias("form"))
     return texts.select("name", F.length("form").alias("size"), F.sha2("form", 256).alias("digest")).groupBy("size", "digest").agg(F.min("name").alias("name"))
 
 
+def _form(text: Column) -> Column:
+    return matched(canonical(text))
+
+
 def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `digest` of the whole canonical text, `license` and `licenses`."""
-    digests = known_digests(docs.sparkSession, known)
-    sizes = F.array(*[F.lit(r["size"]) for r in digests.select("size").distinct().collect()] or [F.lit(-1)])
-    names = F.broadcast(digests.select("digest", "name"))
+    spark = docs.sparkSession
+    listed = known_texts() if known is None else list(known.items())
+    # A few hundred rows, kept by the driver so that no task makes their forms again.
+    rows = known_digests(spark, listed, _form).collect()
+    sizes = F.array(*[F.lit(x) for x in sorted({r["size"] for r in rows})] or [F.lit(-1)])
+    names = F.broadcast(spark.createDataFrame([(r["digest"], r["name"]) for r in rows], "digest string, name string"))
+    plain = F.broadcast(known_digests(spark, list((KNOWN if known is None else known).items()), canonical).select("digest", F.col("name").alias("plain")))
     texts = texts_of(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    whole = texts.select("doc_id", "key", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(names.withColumnRenamed("name", "license"), "digest", "left")
-    lines = F.filter(F.transform(F.split("text", "\n"), canonical), lambda x: F.array_contains(sizes, F.length(x)))
+    forms = texts.select("doc_id", "key", canonical(F.col("text")).alias("canon"))
+    both = forms.select("doc_id", "key", F.sha2("canon", 256).alias("digest"), F.sha2(matched(F.col("canon")), 256).alias("form"))
+    whole = both.join(plain, "digest", "left").join(names.select(F.col("digest").alias("form"), F.col("name").alias("found")), "form", "left").select("doc_id", "key", "digest", F.coalesce("plain", "found").alias("license"))
+    lines = F.filter(F.transform(F.split("text", "\n"), _form), lambda x: F.array_contains(sizes, F.length(x)))
     units = texts.select("doc_id", "key", F.posexplode(lines).alias("place", "line")).select("doc_id", "key", "place", F.sha2("line", 256).alias("digest"))
     hits = units.join(names, "digest").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("place", "name"))).alias("hits"))
     found = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_join("hits.name", ",").alias("licenses"))

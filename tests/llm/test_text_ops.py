@@ -209,6 +209,32 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_full_texts_and_notices(spark):
+    import pathlib
+
+    folder = pathlib.Path(licenses.__file__).with_name("license_texts")
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in folder.glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(texts)
+    want = {name: name.split("@")[0] for name in texts}
+    texts["no appendix"], want["no appendix"] = texts["Apache-2.0"].split("END OF TERMS")[0], "Apache-2.0"
+    texts["holder"], want["holder"] = texts["BSD-3-Clause@2"].replace("the University", "Some Firm, Inc.").replace("REGENTS", "AUTHORS"), "BSD-3-Clause"
+    told = {
+        "This program is distributed under the terms of the GNU General Public License version 2.": "GPL-2.0",
+        "Licensed under GPLv2 or later": "GPL-2.0-or-later",
+        "# Licensed under the LGPL, version 2.1 or any later version": "LGPL-2.1-or-later",
+        "This article is available under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "Released under CC BY-SA 3.0": "CC-BY-SA-3.0",
+        "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "This project is licensed under the Apache 2.0 licence": "Apache-2.0",
+    }
+    texts |= {x: f"some text\n{x}\nmore" for x in told}
+    names = sorted(texts)
+    df = spark.createDataFrame([(k, texts[n]) for k, n in enumerate(names)], "doc_id long, text string")
+    got = {names[r["doc_id"]]: r for r in licenses.scan(df).collect()}
+    assert {n: got[n]["license"] for n in want} == want
+    assert {n: got[n]["licenses"] for n in told} == {n: f"{x} notice" for n, x in told.items()}
+
+
 def test_chat_and_license_sql(spark):
     import os
 
