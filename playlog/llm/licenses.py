@@ -8,8 +8,9 @@ Digests are only made of units whose canonical length is that of a known text.
 
 Known are KNOWN, which the SQL has too, the full texts in the folder license_texts
 (NAME.txt, with variants as NAME@2.txt) and the notices of NOTICES.  They are matched in a
-form that also makes alike what licences leave to their user: holders, the numbers of
-clauses, the verb of a notice.  The table is a parameter of fixed size, so it is broadcast.
+form that also makes alike what licences leave to their user (holders, the numbers of
+clauses, the verb of a notice), without title, and drops only lines that name a holder or
+a year, not every line that begins with the word copyright.  The table is a parameter of fixed size, so it is broadcast.
 
 Defined results: null text is the empty text, which matches nothing.  `licenses` lists
 the matches of lines in order, repeated if a line repeats; `license` is the whole text's
@@ -126,15 +127,43 @@ def known_texts() -> list[tuple[str, str]]:
     return out + [(name, text) for text, name in notices().items()]
 
 
-def canonical(text: Column) -> Column:
+# A notice says (c), a year or a holder; what follows the word in licences themselves isn't one.
+_BODY = "notices?|holders?|owners?|licen[sc]es?|licensors?|laws?|acts?|interests?|statements?|lines?|and|or|of|in|is|to|on|for|as|that|which|treaty|treaties|protection|doctrines?|disclaimer|rights?|permissions?|information|material|related|status|under|with|does|may|can|will|shall|if|applies|resulting|the (?:software|library|program)|infringement|assignment|year|years|from|at|are|was|has|have|restrictions|resides|it|its|this|these|those|not|but|when|where|who|whose|within|without|unless|any|all|such|being|be|including|ownership"
+_HELD = (
+    r"(?:portions[ \t]+)?copyright[ \t]*(?:\(c\)|©)",
+    r"copyright[ \t:,]*[\[<{(]?[ \t]*(?:(?:19|20)[0-9]{2}|year|yyyy)(?![\p{L}\p{N}])",
+    rf"copyright[ \t:]+(?!(?:{_BODY})(?![\p{{L}}\p{{N}}]))[\p{{L}}<\[{{]",
+    r"\(c\)[ \t]*(?:copyright|(?:19|20)[0-9]{2}|[<\[{])",
+    "©",
+)
+_HOLDERS = r"(?m)^[^\p{L}\p{N}\n]*(?:" + "|".join(_HELD) + r")[^\n]*$(?:\n[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$)?"
+
+
+def canonical(text: Column, notices: str | None = _COPYRIGHT) -> Column:
     """Lower case, without copyright lines, words parted by one space, spellings alike."""
-    out = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
+    out = F.regexp_replace(F.lower(text), notices, " ") if notices else F.lower(text)
     out = F.trim(F.regexp_replace(out, _MARKS, " "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
+# Titles, which may stand above a licence or not, over lower-case words.
+_TITLE = (
+    "^(?:(?:(?:the )?(?:mit|isc|mit x11|x11|expat|zlib|0bsd|(?:new |modified |revised |simplified |original )?bsd(?: (?:zero|two|three|[0-4]) clause| style)?|(?:zero|two|three|[0-4]) clause bsd) license(?: (?:mit|isc|0bsd|zlib|bsd [0-4] clause))?"
+    "|(?:the )?unlicense|apache license version 2 0(?: january 2004)?(?: http (?:www )?apache org licenses(?: license 2 0)?)?"
+    "|mozilla public license version [0-9] [0-9]|creative commons legal code|cc0 1 0 universal|(?:creative commons )?attribution sharealike 4 0 international"
+    "|sil open font license version 1 1 26 february 2007|unicode license v3|(?:the )?artistic license) )+"
+)
+_GNU_TITLE = "^gnu [a-z ]{4,40}license .{0,200}?(?=everyone is permitted to copy)"
+
+
+def untitled(form: Column) -> Column:
+    """A canonical text without its title, and for GNU's without the holder's address."""
+    bare = F.regexp_replace(F.regexp_replace(form, _TITLE, ""), _GNU_TITLE, "")
+    return F.when(form.rlike("^(?:the |new |modified |revised |simplified |original |zero |two |three |creative |attribution |mit|isc|x11|expat|zlib|0bsd|bsd|[0-4] |unlicense|apache|mozilla|cc0|sil|unicode|artistic|gnu)"), bare).otherwise(form)
+
+
 # What users of a licence fill in or choose, over lower-case words.
 _FILLED = (
     (r"neither the names? .{1,160}? nor the names? of (?:(?:its|their|any|other) )*contributors", "neither the name of the holder nor the names of its contributors"),
@@ -166,7 +195,8 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]], form: Calla
 
 
 def _form(text: Column) -> Column:
-    return matched(canonical(text))
+    held = F.lower(text).rlike(r"copyright|\(c\)|©")
+    return matched(untitled(F.when(held, canonical(text, _HOLDERS)).otherwise(canonical(text, None))))
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,8 +209,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "do
     names = F.broadcast(spark.createDataFrame([(r["digest"], r["name"]) for r in rows], "digest string, name string"))
     plain = F.broadcast(known_digests(spark, list((KNOWN if known is None else known).items()), canonical).select("digest", F.col("name").alias("plain")))
     texts = texts_of(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    forms = texts.select("doc_id", "key", canonical(F.col("text")).alias("canon"))
-    both = forms.select("doc_id", "key", F.sha2("canon", 256).alias("digest"), F.sha2(matched(F.col("canon")), 256).alias("form"))
+    both = texts.select("doc_id", "key", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(_form(F.col("text")), 256).alias("form"))
     whole = both.join(plain, "digest", "left").join(names.select(F.col("digest").alias("form"), F.col("name").alias("found")), "form", "left").select("doc_id", "key", "digest", F.coalesce("plain", "found").alias("license"))
     lines = F.filter(F.transform(F.split("text", "\n"), _form), lambda x: F.array_contains(sizes, F.length(x)))
     units = texts.select("doc_id", "key", F.posexplode(lines).alias("place", "line")).select("doc_id", "key", "place", F.sha2("line", 256).alias("digest"))

@@ -235,6 +235,24 @@ def test_licenses_full_texts_and_notices(spark):
     assert {n: got[n]["licenses"] for n in told} == {n: f"{x} notice" for n, x in told.items()}
 
 
+def test_licenses_wrapped_anyhow(spark):
+    import pathlib
+    import textwrap
+
+    rows = []
+    for path in sorted(pathlib.Path(licenses.__file__).with_name("license_texts").glob("*.txt")):
+        parts = re.split(r"\n[ \t]*\n", path.read_text(encoding="utf-8"))
+        for width in (40, 61, 72, 78, 100, 10**6):
+            wrapped = [p if re.search(r"(?i)copyright \(c\)|©|copyright \[yyyy", p) else textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in parts]
+            rows.append((path.stem.split("@")[0], "\n\n".join(wrapped)))
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n" + licenses.KNOWN["ISC"].split("\n\n")[1]
+    mit = licenses.KNOWN["MIT"].removeprefix("MIT License\n\n")
+    rows += [("ISC", isc), ("ISC", "ISC License\n\nCopyright (c) 2020, A. Holder\nAll rights reserved.\n\n" + isc), ("MIT", mit), ("MIT", "The MIT License (MIT)\n\n" + mit.replace("(c) the authors", "Some Firm")), (None, "mere copyright"), (None, mit + " But not for you.")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert [(k, n, got[k]) for k, (n, _) in enumerate(rows) if got[k] != n] == []
+
+
 def test_chat_and_license_sql(spark):
     import os
 
