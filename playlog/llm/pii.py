@@ -8,7 +8,10 @@ scores in rounds: a pattern's score is the mean score of its distinct instances,
 by one, and an instance's score is 1 for a seed and otherwise the best score of the
 accepted patterns it stands in.  Accepted patterns have enough distinct supporting
 instances and a high enough score; the other words that stand in them are the
-identifiers that the base patterns didn't see.  Base spans always stay; found spans
+identifiers that the base patterns didn't see.  Neighbours among such words on one line are
+one instance, with the marks and brackets between, and its context stands before the first;
+a comma or another end of a clause parts them.  Words without a digit or an at-sign are
+never looked at.  Base spans always stay; found spans
 that would overlap one are left out.
 
 Defined results: null text is the empty text, which has no spans.  Repeated rows have
@@ -42,6 +45,8 @@ _FIND = {
     # words with a digit or an at-sign
     "other": r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+",
 }
+#: What may stand between the words of one identifier.
+_APART = "[ \\t]+(?:[()/.\u2013-]{1,2}[ \\t]+)?"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _BLOCK = 32
 
@@ -100,18 +105,32 @@ def _block_starts(lengths: Column) -> Column:
     return F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.get(a, F.size(a) - 1) + x)))
 
 
+def _joined(gap: Column, before: Column) -> Column:
+    """Whether a gap between two words makes them one identifier: on one line, with at most
+    a mark in it, and after a word that doesn't end a clause."""
+    return gap.rlike(rf"^{_APART}$") & ~before.rlike("[.,;:!?]$")
+
+
 def _pattern(tail: Column) -> Column:
     """The last two words of a stretch of text; empty if there's none."""
     words = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(tail), r"[^\p{L}0-9]+", " "), "[0-9]", "0"), " "), lambda w: w != "")
     return F.array_join(F.slice(words, F.when(F.size(words) > 2, F.size(words) - 1).otherwise(1), F.lit(2)), " ")
 
 
+#: Cheap to look for from the left.
+_TWO_WORDS = r"[\p{L}0-9][^\p{L}0-9]++[\p{L}0-9]"
+
+
+def _tail(text: Column) -> Column:
+    return F.when(F.length(text) <= REACH, text).otherwise(F.substring(text, F.length(text) - REACH + 1, F.lit(REACH)))
+
+
 _SPAN = "struct<start:int,end:int,value:string,pattern:string>"
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the valid spans of each kind (`email` ... `phone`) and `other`, the
-    words that hold a digit or an at-sign and meet no base span."""
+    longest runs of neighbouring words that hold a digit or an at-sign and meet no base span."""
     df = texts_of(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     names = [*KINDS, "other"]
     none = F.array().cast("array<string>")
@@ -136,27 +155,56 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def spans(kind: str) -> Column:
         lengths, starts, gaps = F.col(f"{kind}_lengths"), F.col(f"{kind}_starts"), F.col(f"{kind}_gaps")
 
+        hits = F.col(f"{kind}_hits")
+
         def span(hit: Column, i: Column) -> Column:
             end = _running(lengths, starts, i + 1)
             gap = F.get(gaps, i)
-            tail = F.when(F.length(gap) <= REACH, gap).otherwise(F.substring(gap, F.length(gap) - REACH + 1, F.lit(REACH)))
+            # A gap of less than two words is short of context; the hits before it are context too.
+            more = F.concat(*[F.coalesce(F.get(x, i - k), F.lit("")) for k in (2, 1) for x in (gaps, hits)], gap)
+            tail = _tail(F.when(gap.rlike(_TWO_WORDS), gap).otherwise(more))
             return F.struct(end.alias("start"), (end + F.length(hit)).alias("end"), hit.alias("value"), tail.alias("pattern"))
 
-        return F.filter(F.transform(f"{kind}_hits", span), lambda s: _valid(kind, s["value"]))
+        return F.transform(hits, span) if kind == "other" else F.filter(F.transform(hits, span), lambda s: _valid(kind, s["value"]))
 
-    df = df.select("doc_id", "key", *[spans(k).alias(k) for k in names])
+    df = df.select("doc_id", "key", "other_gaps", *[spans(k).alias(k) for k in names])
     base = F.concat(*[F.col(k) for k in KINDS])
 
+    # Words that meet no base span, in runs: where each begins and ends among the words.
+    def free(s: Column) -> Column:
+        return ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+
+    gaps, other, loose = F.col("other_gaps"), F.col("other"), F.col("free")
+    df = df.withColumn("base", base)
+    df = df.select("*", F.transform("other", free).alias("free"))
+    joined = F.transform(other, lambda s, i: (i > 0) & F.get(loose, i) & F.coalesce(F.get(loose, i - 1), F.lit(False)) & F.coalesce(_joined(F.get(gaps, i), F.get(other, i - 1)["value"]), F.lit(False)))
+    df = df.select("*", joined.alias("joined"))
+    places = F.transform(other, lambda s, i: i)
+    firsts = F.filter(places, lambda i: F.get(loose, i) & ~F.get("joined", i))
+    lasts = F.filter(places, lambda i: F.get(loose, i) & ~F.coalesce(F.get("joined", i + 1), F.lit(False)))
+    df = df.select("*", F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("runs"))
+
+    def whole(r: Column) -> Column:
+        """The words of a run and what is between them."""
+        first, more = F.get(other, r["a"]), r["b"] - r["a"]
+        rest = F.zip_with(F.slice(gaps, r["a"] + 2, more), F.slice(other, r["a"] + 2, more), lambda g, s: F.concat(g, s["value"]))
+        value = F.concat(first["value"], F.array_join(rest, ""))
+        return F.struct(first["start"].alias("start"), F.get(other, r["b"])["end"].alias("end"), value.alias("value"), first["pattern"].alias("pattern"))
+
+    df = df.select("*", F.transform("runs", whole).alias("whole"))
+
     def trimmed(s: Column) -> Column:
-        value = F.regexp_replace(s["value"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-        lead = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^\p{L}\p{N}]+", ""))
+        # A bracket that is closed inside belongs to the identifier.
+        marks = r"^[^\p{L}\p{N}]*(?=\([\p{L}\p{N}][^()]*\).*[\p{L}\p{N}])|^[^\p{L}\p{N}]*(?=[\p{L}\p{N}])"
+        value = F.regexp_replace(F.regexp_replace(s["value"], marks, ""), r"[^\p{L}\p{N}]+$", "")
+        lead = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], marks, ""))
         start = s["start"] + lead
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), s["pattern"].alias("pattern"))
 
     def named(s: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _pattern(s["pattern"]).alias("pattern"))
 
-    df = df.withColumn("base", base).withColumn("other", F.filter(F.transform("other", trimmed), lambda s: (F.length(s["value"]) > 0) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))))
+    df = df.withColumn("other", F.filter(F.transform("whole", trimmed), lambda s: F.length(s["value"]) > 0))
     return df.select("doc_id", "key", *[F.transform(k, named).cast(f"array<{_SPAN}>").alias(k) for k in names])
 
 

@@ -160,6 +160,20 @@ def test_pii_patterns_find_the_unseen(spark):
     assert texts[100] == "please call me at [PHONE], ok" and texts[0] == "please call me at [PHONE] today" and texts[102] == ""
 
 
+def test_pii_identifiers_of_several_words(spark):
+    rows = [(k, f"please call me at +1 (555) 555-{1000 + k} today") for k in range(40)]
+    unseen = ["(487) 555-7209", "487 555 7209", "(487) 555 - 7209", "DE89 3704 0044 0532 0130 00", "12 34"]
+    rows += [(100 + k, f"2 men: please call me at {x}, 5 or more") for k, x in enumerate(unseen)]
+    rows += [(200, "call me at 555-9876 bob@x.org 77"), (201, "3 call me 4 at 5"), (202, "please call me at 7 7, 8 8"), (203, "call me at (12)")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert [texts[100 + k] for k in range(len(unseen))] == ["2 men: please call me at [PHONE], 5 or more"] * len(unseen)
+    assert texts[200] == "call me at [PHONE] [EMAIL] 77" and texts[201] == "3 call me 4 at 5"
+    assert texts[202] == "please call me at [PHONE], 8 8" and texts[203] == "call me at ([PHONE])"
+    found = {r["doc_id"]: r for r in pii.occurrences(df).collect()}
+    assert [(s["value"], s["pattern"]) for s in found[202]["other"]] == [("7 7", "me at"), ("8 8", "0 0")]
+
+
 def statistics_of(text):
     words = re.findall("[^\x20\x09-\x0d]+", text or "")
     seen = collections.Counter(zip(words, words[1:], words[2:]))
