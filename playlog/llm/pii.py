@@ -4,7 +4,7 @@ Base identifiers (mail addresses, IP addresses, card and phone numbers) are foun
 patterns and are the seeds.  A lexical pattern is the two words before an identifier
 with their marks and case dropped and digits as 0.  Patterns and instances (values, be
 they seeds or other words that hold a digit or an at-sign) form a graph, which Spark
-scores in rounds: a pattern's score is the mean score of its distinct instances, shrunk
+scores in rounds until the scores settle: a pattern's score is the mean score of its distinct instances, shrunk
 by one, and an instance's score is 1 for a seed and otherwise the best score of the
 accepted patterns it stands in.  Accepted patterns have enough distinct supporting
 instances and a high enough score; the other words that stand in them are the
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from playlog.llm._spark import cut, table, texts_of
 
-#: Rounds of scoring; distinct supporting instances and score of an accepted pattern.
-ROUNDS, SUPPORT, SCORE = 3, 4, 0.6
-#: Characters before an identifier in which its two words of context are looked for.
-REACH = 64
+#: Distinct supporting instances and score of an accepted pattern.
+SUPPORT, SCORE = 4, 0.6
+#: Scoring ends when no pattern is new and the mean score grows by less.
+SETTLED = 1e-6
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -121,8 +121,12 @@ def _pattern(tail: Column) -> Column:
 _TWO_WORDS = r"[\p{L}0-9][^\p{L}0-9]++[\p{L}0-9]"
 
 
+#: The last two words of a text, read from its end.
+_LAST = r"^[^\p{L}0-9]*+[\p{L}0-9]++(?:[^\p{L}0-9]++[\p{L}0-9]++)?"
+
+
 def _tail(text: Column) -> Column:
-    return F.when(F.length(text) <= REACH, text).otherwise(F.substring(text, F.length(text) - REACH + 1, F.lit(REACH)))
+    return F.reverse(F.regexp_extract(F.reverse(text), _LAST, 0))
 
 
 _SPAN = "struct<start:int,end:int,value:string,pattern:string>"
@@ -208,26 +212,33 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select("doc_id", "key", *[F.transform(k, named).cast(f"array<{_SPAN}>").alias(k) for k in names])
 
 
-def accepted_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = SCORE) -> DataFrame:
-    """`pattern`, its best `kind` and `score`, after iterative scoring of the graph."""
+def accepted_patterns(found: DataFrame, rounds: int | None = None, support: int = SUPPORT, least: float = SCORE) -> DataFrame:
+    """`pattern`, its best `kind` and `score`, after iterative scoring of the graph, to the
+    end or for a number of rounds."""
     tagged = F.concat(*map(_tagged, (*KINDS, "other")))
     edges = found.select(F.explode(tagged).alias("x")).select("x.*").where(F.col("pattern") != "").distinct()
     edges = cut(edges)
     seeds = edges.where(F.col("kind") != "other").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
     links = edges.select("pattern", "value").distinct()
     sizes = links.groupBy("pattern").agg(F.count("*").alias("size"))
-    known, scored = seeds, None
-    for _ in range(rounds):
+    known, last, done = seeds, (0, 0.0), 0
+    # Scores only grow from round to round, so this ends.
+    while True:
         summed = links.join(known, "value").groupBy("kind", "pattern").agg(F.sum("score").alias("mass"), F.count("*").alias("backed"))
         scored = summed.where(F.col("backed") >= support).join(sizes, "pattern").withColumn("score", F.col("mass") / (F.col("size") + 1)).where(F.col("score") >= least).select("kind", "pattern", "score")
         scored = cut(scored)
+        done += 1
+        now = scored.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).collect()[0]
+        if done == rounds or now[0] == last[0] and now[1] - last[1] <= SETTLED * now[0]:
+            break
+        last = (now[0], now[1])
         reached = links.join(scored, "pattern").groupBy("kind", "value").agg(F.max("score").alias("score"))
         known = reached.unionByName(seeds).groupBy("kind", "value").agg(F.max("score").alias("score"))
     rank = F.struct(F.col("score"), *[F.col("kind") == k for k in KINDS])
     return scored.groupBy("pattern").agg(F.max_by("kind", rank).alias("kind"), F.max("score").alias("score"))
 
 
-def extract(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = SCORE) -> DataFrame:
+def extract(docs: DataFrame, rounds: int | None = None, support: int = SUPPORT, least: float = SCORE) -> DataFrame:
     """Per document `key`, a hash of its text, and `base` and `found`: arrays of (start, end,
     kind), by start and kind."""
     spotted = cut(occurrences(docs))

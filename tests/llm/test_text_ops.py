@@ -174,6 +174,29 @@ def test_pii_identifiers_of_several_words(spark):
     assert [(s["value"], s["pattern"]) for s in found[202]["other"]] == [("7 7", "me at"), ("8 8", "0 0")]
 
 
+def test_pii_context_of_long_words_and_settling(spark):
+    long = "x" * 80
+    rows = [(k, f"see {long} at +1 (555) 555-{1000 + k}") for k in range(12)]
+    rows += [(100, f"see {long} at 555-9876"), (101, "call" + " " * 200 + "me at" + " " * 90 + "1.2.3.4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[100] == f"see {long} at [PHONE]"
+    assert [s["pattern"] for r in pii.occurrences(df).where("doc_id = 101").collect() for s in r["ip"]] == ["me at"]
+    # Each pattern of a chain is only accepted once the one before it is: five rounds.
+    name = "abcdef"
+    chain = [(f"w {name[0]}", f"+4940555{k:04d}", "phone") for k in range(40)]
+    for i in range(5):
+        chain += [(f"w {name[j]}", f"n{i}x{k}", "other") for k in range(12) for j in (i, i + 1)]
+        chain += [(f"w {name[i]}", f"+4941{i}55{k:04d}", "phone") for k in range(60)] if i == 0 else []
+    spans = "array<struct<start:int,end:int,value:string,pattern:string>>"
+    found = [(k, *[[(0, 1, v, p)] if kind == n else [] for n in (*pii.KINDS, "other")]) for k, (p, v, kind) in enumerate(chain)]
+    graph = spark.createDataFrame(found, "doc_id long, " + ", ".join(f"{n} {spans}" for n in (*pii.KINDS, "other")))
+
+    def accepted(rounds):
+        return {r["pattern"]: r["score"] for r in pii.accepted_patterns(graph, rounds, 4, 0.2).collect()}
+
+    assert set(accepted(None)) > set(accepted(3)) and accepted(None) == pytest.approx(accepted(40), abs=1e-4)
+
+
 def statistics_of(text):
     words = re.findall("[^\x20\x09-\x0d]+", text or "")
     seen = collections.Counter(zip(words, words[1:], words[2:]))
