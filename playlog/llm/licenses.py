@@ -3,8 +3,10 @@
 A text is put in canonical form (case, punctuation, copyright lines and equivalent
 spellings are made alike) and its SHA-256 is looked up, by a hash join, among the
 digests of known licence texts in the same form.  The units looked up are the whole
-document and each of its lines, since notices mostly stand on a line of their own.
-Digests are only made of units whose canonical length is that of a known text.
+document, each of its lines, since notices mostly stand on a line of their own, and the
+stretches that begin with the first words of a full text and have its length, wherever
+they stand and however they are wrapped.  Digests are only made of units whose canonical
+length is that of a known text.
 
 Known are KNOWN, which the SQL has too, the full texts in the folder license_texts
 (NAME.txt, with variants as NAME@2.txt) and the notices of NOTICES.  They are matched in a
@@ -13,7 +15,8 @@ clauses, the verb of a notice), without title, and drops only lines that name a
 a year, not every line that begins with the word copyright.  The table is a parameter of fixed size, so it is broadcast.
 
 Defined results: null text is the empty text, which matches nothing.  `licenses` lists
-the matches of lines in order, repeated if a line repeats; `license` is the whole text's
+the matches of lines in order, repeated if a line repeats, and then those of stretches
+that are neither one of these lines nor the whole text; `license` is the whole text's
 match or null.  `digest` is that of the form that the SQL has, and what the SQL matches
 in that form stays matched.  Repeated rows give repeated results, apart from each other.
 """
@@ -189,9 +192,28 @@ def matched(form: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]], form: Callable[[Column], Column]) -> DataFrame:
-    """`name`, `size` and `digest` of each known text's form."""
+    """`name`, `size`, `digest` and the first words (`head`) of each known text's form."""
     texts = spark.createDataFrame(known, "name string, text string").select("name", form(F.col("text")).alias("form"))
-    return texts.select("name", F.length("form").alias("size"), F.sha2("form", 256).alias("digest")).groupBy("size", "digest").agg(F.min("name").alias("name"))
+    return texts.select("name", F.length("form").alias("size"), F.sha2("form", 256).alias("digest"), F.substring_index("form", " ", _HEAD).alias("head")).groupBy("size", "digest", "head").agg(F.min("name").alias("name"))
+
+
+#: Words that a full text is looked for by, and the least length of its form.
+_HEAD, _LONG = 5, 200
+
+
+def stretches(forms: DataFrame, rows: list[tuple[str, int, str, str]]) -> DataFrame:
+    """`doc_id`, `key`, `place` and `name` of the full texts (name, size, digest, head) that
+    stand in a longer `form`; of several from one place the longest."""
+    spark, most = forms.sparkSession, max((r[1] for r in rows), default=0)
+    full = F.broadcast(spark.createDataFrame(rows, "name string, size int, digest string, head string"))
+    heads = "|".join(sorted({r[3] for r in rows})) or "(?!)"
+    parts = forms.where(F.col("form").rlike(f"(?<![^ ])(?:{heads})(?![^ ])")).withColumn("parts", F.split("form", f"(?<![^ ])(?=(?:{heads})(?![^ ]))"))
+    begins = F.aggregate("parts", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.get(a, F.size(a) - 1) + F.length(x))))
+    at = parts.select("doc_id", "key", "form", F.explode(F.array_distinct(begins)).alias("place"))
+    tails = at.select("doc_id", "key", "place", F.length("form").alias("length"), F.col("form").substr(F.col("place") + 1, F.lit(most + 1)).alias("tail")).withColumn("head", F.substring_index("tail", " ", _HEAD))
+    same = (F.sha2(F.col("tail").substr(F.lit(1), F.col("size")), 256) == F.col("digest")) & F.col("tail").substr(F.col("size") + 1, F.lit(1)).isin("", " ")
+    found = tails.join(full, "head").where((F.col("size") < F.col("length")) & same)
+    return found.groupBy("doc_id", "key", "place").agg(F.max_by("name", "size").alias("name"))
 
 
 def _form(text: Column) -> Column:
@@ -213,8 +235,14 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "do
     whole = both.join(plain, "digest", "left").join(names.select(F.col("digest").alias("form"), F.col("name").alias("found")), "form", "left").select("doc_id", "key", "digest", F.coalesce("plain", "found").alias("license"))
     lines = F.filter(F.transform(F.split("text", "\n"), _form), lambda x: F.array_contains(sizes, F.length(x)))
     units = texts.select("doc_id", "key", F.posexplode(lines).alias("place", "line")).select("doc_id", "key", "place", F.sha2("line", 256).alias("digest"))
-    hits = units.join(names, "digest").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("place", "name"))).alias("hits"))
-    found = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_join("hits.name", ",").alias("licenses"))
+    longer = stretches(texts.select("doc_id", "key", _form(F.col("text")).alias("form")), [(r["name"], r["size"], r["digest"], r["head"]) for r in rows if r["size"] >= _LONG])
+    ranked = units.join(names, "digest").select("doc_id", "key", F.lit(0).alias("rank"), "place", "name").unionByName(longer.withColumn("rank", F.lit(1)))
+    hits = ranked.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("rank", "place", "name"))).alias("hits"))
+    first, second = F.filter("hits", lambda x: x["rank"] == 0), F.filter("hits", lambda x: x["rank"] == 1)
+    hits = hits.select("doc_id", "key", first["name"].alias("lined"), second["name"].alias("longer"))
+    # A full text on one line is among both.
+    more = F.filter("longer", lambda x, i: F.size(F.filter(F.slice("longer", 1, i + 1), lambda y: y == x)) > F.size(F.filter("lined", lambda y: y == x)))
+    found = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_join(F.concat("lined", more), ",").alias("licenses"))
     joined = whole.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     return joined.select("doc_id", "digest", "license", F.coalesce("licenses", F.lit("")).alias("licenses"))
 

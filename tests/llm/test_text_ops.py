@@ -290,6 +290,28 @@ def test_licenses_wrapped_anyhow(spark):
     assert [(k, n, got[k]) for k, (n, _) in enumerate(rows) if got[k] != n] == []
 
 
+def test_licenses_inside_a_file(spark):
+    import pathlib
+    import textwrap
+
+    folder = pathlib.Path(licenses.__file__).with_name("license_texts")
+    mit, bsd, gpl = ((folder / f"{n}.txt").read_text(encoding="utf-8") for n in ("MIT", "BSD-3-Clause@2", "GPL-3.0"))
+    head = "\n".join("# " + x for p in mit.split("\n\n") for x in [*textwrap.wrap(p, 60), ""])
+    line = " ".join(licenses.KNOWN["MIT"].split("\n\n", 2)[2].split())
+    rows = [
+        ("MIT", f"#!/bin/sh\n{head}\n\nexit 0"),
+        ("Reserved notice,MIT,BSD-3-Clause,MIT", f"Third parties\n\n{mit}\n\nand\n\n{bsd}\n\nand\n\n{mit}"),
+        ("GPL-3.0", f"see below\n{gpl}\nend"),
+        ("Reserved notice,MIT notice,BSD-3-Clause", f"one\n{bsd}\nReleased under the MIT License."),
+        ("MIT,MIT", f"a\n{line}\nb\n{mit}\nc"),
+        ("", mit),
+        ("", "see " + mit.replace("free of charge", "for a charge")),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["license"]) for r in licenses.scan(df).collect()}
+    assert got == {k: (n, "MIT" if k == 5 else None) for k, (n, _) in enumerate(rows)}
+
+
 def test_chat_and_license_sql(spark):
     import os
 
