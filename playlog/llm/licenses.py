@@ -182,13 +182,16 @@ def _noticed(form: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"^spdx license identifier ", "licensed under the "), r"^(licensed under the .*version .*) of the license$", "$1")
 
 
-def matched(form: Column) -> Column:
+def filled(form: Column) -> Column:
     """`canonical` texts with what their users fill in made alike."""
-    filled = form
+    out = form
     for a, b in _FILLED:
-        filled = F.regexp_replace(filled, a, b)
-    filled = F.when(form.contains("redistributions") | form.contains("in no event shall"), filled).otherwise(form)
-    return F.when(filled.contains(" under ") | filled.startswith("spdx "), _noticed(filled)).otherwise(filled)
+        out = F.regexp_replace(out, a, b)
+    return F.when(form.contains("redistributions") | form.contains("in no event shall"), out).otherwise(form)
+
+
+def noticed(form: Column) -> Column:
+    return F.when(form.contains(" under ") | form.startswith("spdx "), _noticed(form)).otherwise(form)
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]], form: Callable[[Column], Column]) -> DataFrame:
@@ -216,9 +219,20 @@ def stretches(forms: DataFrame, rows: list[tuple[str, int, str, str]]) -> DataFr
     return found.groupBy("doc_id", "key", "place").agg(F.max_by("name", "size").alias("name"))
 
 
-def _form(text: Column) -> Column:
+def _bare(text: Column) -> Column:
     held = F.lower(text).rlike(r"copyright|\(c\)|©")
-    return matched(untitled(F.when(held, canonical(text, _HOLDERS)).otherwise(canonical(text, None))))
+    return F.when(held, canonical(text, _HOLDERS)).otherwise(canonical(text, None))
+
+
+def _forms(texts: Column) -> Column:
+    """Step by step, as an expression that names another twice would make it twice."""
+    for step in (_bare, untitled, filled, noticed):
+        texts = F.transform(texts, step)
+    return texts
+
+
+def _form(text: Column) -> Column:
+    return F.get(_forms(F.array(text)), F.lit(0))
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +247,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "do
     texts = texts_of(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     both = texts.select("doc_id", "key", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(_form(F.col("text")), 256).alias("form"))
     whole = both.join(plain, "digest", "left").join(names.select(F.col("digest").alias("form"), F.col("name").alias("found")), "form", "left").select("doc_id", "key", "digest", F.coalesce("plain", "found").alias("license"))
-    lines = F.filter(F.transform(F.split("text", "\n"), _form), lambda x: F.array_contains(sizes, F.length(x)))
+    lines = F.filter(_forms(F.split("text", "\n")), lambda x: F.array_contains(sizes, F.length(x)))
     units = texts.select("doc_id", "key", F.posexplode(lines).alias("place", "line")).select("doc_id", "key", "place", F.sha2("line", 256).alias("digest"))
     longer = stretches(texts.select("doc_id", "key", _form(F.col("text")).alias("form")), [(r["name"], r["size"], r["digest"], r["head"]) for r in rows if r["size"] >= _LONG])
     ranked = units.join(names, "digest").select("doc_id", "key", F.lit(0).alias("rank"), "place", "name").unionByName(longer.withColumn("rank", F.lit(1)))
