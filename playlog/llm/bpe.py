@@ -44,7 +44,8 @@ class RunIds:
     """ids of texts from ids of their words: `encode_words` is called once for each
     word that isn't remembered.  White space is dropped by the rules and nothing
     matches across it, so runs without it are encoded one by one.  A run that ends in marks after a
-    letter is the word and the marks, since the rules part letters from marks."""
+    letter is the word and the marks, since the rules part letters from marks; not so after a
+    letter whose lower case ends in a mark itself (`\u0130`)."""
 
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], most_runs: int = RUNS, most_words: int = WORDS):
         self.encode_words = encode_words
@@ -82,7 +83,7 @@ class RunIds:
                 run = runs[i]
                 word = run.rstrip(_MARKS)
                 marks = ""
-                if word and len(word) < len(run) and "a" <= word[-1] < "\u0250" and word[-1].isalpha():
+                if word and len(word) < len(run) and "a" <= word[-1] < "\u0250" and word[-1].isalpha() and len(word[-1].lower()) == 1:
                     marks = run[len(word) :]
                     if marks not in words:
                         missing.add(marks)
@@ -128,14 +129,45 @@ def fold(text: str) -> str:
     return text.lower()
 
 
+#: What a file has to say for the shortcuts here to be its rules: lower case, white space
+#: dropped, letters parted from marks, an end-of-word mark and no decoder.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def checked(path: str) -> dict:
+    """The vocabulary file, which must follow the rules that are built in here."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    wrong = [k for k, v in _RULES.items() if spec.get(k) != v]
+    wrong += [f"model.{k}" for k, v in _MODEL.items() if spec["model"].get(k) != v]
+    if not spec["model"].get("end_of_word_suffix"):
+        wrong.append("model.end_of_word_suffix")
+    wrong += [f"token {x['content']}" for x in spec["added_tokens"] if not x["content"].startswith("<|") or x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"]]
+    if wrong:
+        raise ValueError(f"{path} isn't a lower-case BPE file with word ends: {', '.join(wrong)} differ")
+    return spec
+
+
 class SegmentTreeBpe:
-    """Encoder and decoder for a `tokenizers` file of kind BPE with word ends."""
+    """Encoder and decoder for a `tokenizers` file of kind BPE with word ends; files of
+    other rules are refused."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = checked(path)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""

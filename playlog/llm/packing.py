@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from playlog.llm._bytes import release
 from playlog.llm._spark import table, texts_of
-from playlog.llm.bpe import WORDS, RunIds, default_tokenizer, slices
+from playlog.llm.bpe import WORDS, RunIds, checked, default_tokenizer, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -47,6 +47,7 @@ class CachedTokenizer:
     def __init__(self, path: str, most_words: int = WORDS):
         from tokenizers import Tokenizer
 
+        checked(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

@@ -50,6 +50,29 @@ def test_bpe_is_the_library(docs, empty, library):
     assert bpe.round_trip(empty, path).count() == 0
 
 
+def test_bpe_of_odd_letters_and_marks(library):
+    """30,000 texts of Latin letters, marks, joining marks and special tokens."""
+    rnd = random.Random(11)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    marks = [*".,|#&%$*!;:?'\"<>()-_", "\u0307", "\u0301", "\u0338", "'s", "'LL"]
+    extra = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|end", " ", "\n", "\x1c", "\x85", "\u2003", "1", "½", "İ", "İ!", "TARİHİ.", "ſ", "ΑΣ", "日本", "🎉", "\u200b", "ß", "ǅ"]
+    texts = ["".join(rnd.choice(rnd.choice([letters, marks, marks, extra])) for _ in range(rnd.randint(1, 14))) for _ in range(30_000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    codec = bpe.SegmentTreeBpe(bpe.default_tokenizer())
+    got = [x.tolist() for x in codec.encode(texts)]
+    assert [(t, a, b) for t, a, b in zip(texts, got, want) if a != b] == []
+    packed = [np.frombuffer(x, dtype="<u4").tolist() for x in packing.CachedTokenizer(bpe.default_tokenizer()).encode(texts)]
+    assert [(t, a, b) for t, a, b in zip(texts, packed, want) if a != b] == []
+    assert all(codec.decode(np.array(x, dtype=np.int64)) == library.decode(x, skip_special_tokens=False) for x in want)
+
+
+def test_bpe_refuses_other_rules():
+    other = chat.chat_vocabulary()
+    for kind in (bpe.SegmentTreeBpe, packing.CachedTokenizer):
+        with pytest.raises(ValueError, match="normalizer"):
+            kind(other)
+
+
 def test_segment_tree_merges_leftmost_lowest_first():
     codec = bpe.codec(bpe.default_tokenizer())
     rnd = random.Random(2)
