@@ -1,22 +1,33 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
 Base identifiers (mail addresses, IP addresses, card and phone numbers) are found by
-patterns and are the seeds.  A lexical pattern is the two words before an identifier
-with their marks and case dropped and digits as 0.  Patterns and instances (values, be
+patterns and are the seeds, and so are long keys of letters and digits that an equals sign
+or a colon gives to a name (kind `secret`).  Seeds induce lexical patterns of four forms:
+
+- the two words before, marks and case dropped and digits as 0 (`call me`);
+- the last three words or marks before, if one is a mark (`token = "`);
+- the word or mark on both sides around the value's shape (`:|0000-0000|,`), in which
+  digits are 0, letters a, and mixed stretches x;
+- the shape alone, if it has ten digits or more (`+0 (000) 000-0000`).
+
+Patterns and instances (values, be
 they seeds or other words that hold a digit or an at-sign) form a graph, which Spark
 scores in rounds until the scores settle: a pattern's score is the mean score of its distinct instances, shrunk
 by one, and an instance's score is 1 for a seed and otherwise the best score of the
 accepted patterns it stands in.  Accepted patterns have enough distinct supporting
 instances and a high enough score; the other words that stand in them are the
-identifiers that the base patterns didn't see.  Neighbours among such words on one line are
-one instance, with the marks and brackets between, and its context stands before the first;
+identifiers that the base patterns didn't see, each of the kind of its best pattern.
+Neighbours among such words on one line are
+one instance, with the marks and brackets between, and its context stands before the first
+and after the last;
 a comma or another end of a clause parts them.  Words without a digit or an at-sign are
 never looked at.  Base spans always stay; found spans
-that would overlap one are left out.
+that would overlap one are left out.  A key that is a seed is only reported where an accepted
+pattern holds.
 
 Defined results: null text is the empty text, which has no spans.  Repeated rows have
 equal results; rows with one id and different texts are kept apart.  An empty table
-gives no rows.  Other columns are ignored.
+gives no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +43,8 @@ SUPPORT, SCORE = 4, 0.6
 SETTLED = 1e-6
 
 KINDS = ("email", "ip", "card", "phone")
+#: With the kind that has no base pattern.
+ALL_KINDS = (*KINDS, "secret")
 _LOCAL = "[A-Za-z0-9._%+-]"
 _LABEL = "[A-Za-z0-9-]"
 #: Each finds what the plain pattern finds, but tries every run of characters once:
@@ -80,8 +93,15 @@ def _lengths(gaps: Column, hits: Column) -> Column:
     return F.transform(gaps, lambda g, i: F.length(g) + F.when(i > 0, F.length(F.get(hits, i - 1))).otherwise(0))
 
 
-def _tagged(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["pattern"].alias("pattern"), s["value"].alias("value")))
+def _tagged(kind: str, fields: list[str]) -> Column:
+    """kind, value and patterns; spans made by hand may have `pattern` alone."""
+
+    def tag(s: Column) -> Column:
+        patterns = F.array(s["pattern"])
+        told = F.when(s["secret"], "secret").otherwise(kind) if "secret" in fields else F.lit(kind)
+        return F.struct(told.alias("kind"), (F.concat(patterns, s["forms"]) if "forms" in fields else patterns).alias("patterns"), s["value"].alias("value"))
+
+    return F.transform(kind, tag)
 
 
 def _ranked(kind: str) -> Column:
@@ -129,7 +149,43 @@ def _tail(text: Column) -> Column:
     return F.reverse(F.regexp_extract(F.reverse(text), _LAST, 0))
 
 
-_SPAN = "struct<start:int,end:int,value:string,pattern:string>"
+#: Words and marks, and the first of them.
+_TOKEN = r"[\p{L}0-9_]+|[^\s\p{L}0-9_]"
+_FIRST = rf"^\s*+({_TOKEN})"
+#: A key, and the name it is given to.
+_KEY = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})[A-Za-z0-9+/_-]{20,}={0,2}$"
+_GIVEN = r"[\p{L}0-9_][\"']?\s*(?:=|:|=>|:=)\s*[\"'`]?$"
+
+_SPAN = "struct<start:int,end:int,value:string,pattern:string,forms:array<string>,secret:boolean>"
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[0-9]", "0")
+
+
+def shape(value: Column) -> Column:
+    """Digits as 0, letters as a, stretches of both as x; marks stay, white space is one space."""
+    coarse = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "0")
+    return F.regexp_replace(F.regexp_replace(coarse, "(?:a0+)+a?|(?:0+a)+(?:0+)?", "x"), r"\s+", " ")
+
+
+def _forms(before: Column, value: Column, after: Column) -> Column:
+    """The patterns with marks and shapes that a value stands in."""
+    told = F.regexp_extract_all(_plain(before), F.lit(_TOKEN), 0)
+    last = F.slice(told, F.greatest(F.size(told) - 2, F.lit(1)), F.lit(3))
+    left, right = F.coalesce(F.get(told, F.size(told) - 1), F.lit("")), _plain(F.regexp_extract(after, _FIRST, 1))
+    form = shape(value)
+    marked = (F.size(last) == 3) & F.exists(last, lambda w: ~w.rlike(r"[\p{L}0-9_]"))
+    many = F.length(F.regexp_replace(form, "[^0]+", "")) >= 10
+    none = F.lit(None).cast("string")
+    around = (left != "") & (right != "")
+    return F.array_compact(
+        F.array(
+            F.when(marked, F.concat(F.lit("< "), F.array_join(last, " "))).otherwise(none),
+            F.when(around, F.concat_ws("|", left, form, right)).otherwise(none),
+            F.when(many, F.concat(F.lit("= "), form)).otherwise(none),
+        )
+    )
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +223,8 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             # A gap of less than two words is short of context; the hits before it are context too.
             more = F.concat(*[F.coalesce(F.get(x, i - k), F.lit("")) for k in (2, 1) for x in (gaps, hits)], gap)
             tail = _tail(F.when(gap.rlike(_TWO_WORDS), gap).otherwise(more))
-            return F.struct(end.alias("start"), (end + F.length(hit)).alias("end"), hit.alias("value"), tail.alias("pattern"))
+            after = F.concat(*[F.coalesce(F.get(x, i + 1), F.lit("")) for x in (gaps, hits)])
+            return F.struct(end.alias("start"), (end + F.length(hit)).alias("end"), hit.alias("value"), tail.alias("pattern"), F.regexp_extract(after, _FIRST, 0).alias("after"))
 
         return F.transform(hits, span) if kind == "other" else F.filter(F.transform(hits, span), lambda s: _valid(kind, s["value"]))
 
@@ -193,30 +250,40 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         first, more = F.get(other, r["a"]), r["b"] - r["a"]
         rest = F.zip_with(F.slice(gaps, r["a"] + 2, more), F.slice(other, r["a"] + 2, more), lambda g, s: F.concat(g, s["value"]))
         value = F.concat(first["value"], F.array_join(rest, ""))
-        return F.struct(first["start"].alias("start"), F.get(other, r["b"])["end"].alias("end"), value.alias("value"), first["pattern"].alias("pattern"))
+        last = F.get(other, r["b"])
+        return F.struct(first["start"].alias("start"), last["end"].alias("end"), value.alias("value"), first["pattern"].alias("pattern"), last["after"].alias("after"))
 
     df = df.select("*", F.transform("runs", whole).alias("whole"))
 
     def trimmed(s: Column) -> Column:
         # A bracket that is closed inside belongs to the identifier.
-        marks = r"^[^\p{L}\p{N}]*(?=\([\p{L}\p{N}][^()]*\).*[\p{L}\p{N}])|^[^\p{L}\p{N}]*(?=[\p{L}\p{N}])"
-        value = F.regexp_replace(F.regexp_replace(s["value"], marks, ""), r"[^\p{L}\p{N}]+$", "")
-        lead = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], marks, ""))
+        marks = r"^[^\p{L}\p{N}]*(?=\([\p{L}\p{N}][^()]*\).*[\p{L}\p{N}])|^[^\p{L}\p{N}]*(?=\+[0-9(])|^[^\p{L}\p{N}]*(?=[\p{L}\p{N}])"
+        after_marks = F.regexp_replace(s["value"], marks, "")
+        value = F.regexp_replace(after_marks, r"[^\p{L}\p{N}]+$", "")
+        lead = F.length(s["value"]) - F.length(after_marks)
         start = s["start"] + lead
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), s["pattern"].alias("pattern"))
+        before = F.concat(s["pattern"], F.substring(s["value"], F.lit(1), lead))
+        after = F.concat(F.substring(after_marks, F.length(value) + 1, F.length(after_marks)), s["after"])
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), s["pattern"].alias("pattern"), before.alias("before"), after.alias("after"))
 
     def named(s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _pattern(s["pattern"]).alias("pattern"))
+        """A base span with its patterns."""
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _pattern(s["pattern"]).alias("pattern"), _forms(s["pattern"], s["value"], s["after"]).alias("forms"), F.lit(False).alias("secret"))
+
+    def named_other(s: Column) -> Column:
+        secret = s["value"].rlike(_KEY) & s["before"].rlike(_GIVEN)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _pattern(s["pattern"]).alias("pattern"), _forms(s["before"], s["value"], s["after"]).alias("forms"), secret.alias("secret"))
 
     df = df.withColumn("other", F.filter(F.transform("whole", trimmed), lambda s: F.length(s["value"]) > 0))
-    return df.select("doc_id", "key", *[F.transform(k, named).cast(f"array<{_SPAN}>").alias(k) for k in names])
+    return df.select("doc_id", "key", *[F.transform(k, named_other if k == "other" else named).cast(f"array<{_SPAN}>").alias(k) for k in names])
 
 
 def accepted_patterns(found: DataFrame, rounds: int | None = None, support: int = SUPPORT, least: float = SCORE) -> DataFrame:
     """`pattern`, its best `kind` and `score`, after iterative scoring of the graph, to the
     end or for a number of rounds."""
-    tagged = F.concat(*map(_tagged, (*KINDS, "other")))
-    edges = found.select(F.explode(tagged).alias("x")).select("x.*").where(F.col("pattern") != "").distinct()
+    tagged = F.concat(*[_tagged(k, found.schema[k].dataType.elementType.fieldNames()) for k in (*KINDS, "other")])
+    spread = found.select(F.explode(tagged).alias("x")).select("x.kind", "x.value", F.explode("x.patterns").alias("pattern"))
+    edges = spread.select("kind", "pattern", "value").where(F.col("pattern") != "").distinct()
     edges = cut(edges)
     seeds = edges.where(F.col("kind") != "other").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
     links = edges.select("pattern", "value").distinct()
@@ -234,7 +301,7 @@ def accepted_patterns(found: DataFrame, rounds: int | None = None, support: int
         last = (now[0], now[1])
         reached = links.join(scored, "pattern").groupBy("kind", "value").agg(F.max("score").alias("score"))
         known = reached.unionByName(seeds).groupBy("kind", "value").agg(F.max("score").alias("score"))
-    rank = F.struct(F.col("score"), *[F.col("kind") == k for k in KINDS])
+    rank = F.struct(F.col("score"), *[F.col("kind") == k for k in ALL_KINDS])
     return scored.groupBy("pattern").agg(F.max_by("kind", rank).alias("kind"), F.max("score").alias("score"))
 
 
@@ -243,11 +310,14 @@ def extract(docs: DataFrame, rounds: int | None = None, support: int = SUPPORT,
     kind), by start and kind."""
     spotted = cut(occurrences(docs))
     patterns = accepted_patterns(spotted, rounds, support, least)
-    other = spotted.select("doc_id", "key", F.explode("other").alias("s")).select("doc_id", "key", "s.start", "s.end", "s.pattern")
-    new = other.join(patterns, "pattern").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("new"))
+    other = spotted.select("doc_id", "key", F.explode("other").alias("s"))
+    standing = other.select("doc_id", "key", "s.start", "s.end", F.explode(F.concat(F.array("s.pattern"), F.col("s.forms"))).alias("pattern"))
+    best = F.max_by("kind", F.struct(F.col("score"), *[F.col("kind") == k for k in ALL_KINDS])).alias("kind")
+    spans = standing.join(patterns, "pattern").groupBy("doc_id", "key", "start", "end").agg(best)
+    new = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("new"))
     plain = spotted.select("doc_id", "key", F.array_sort(F.concat(*map(_ranked, KINDS))).alias("base"))
     joined = plain.join(new, plain["doc_id"].eqNullSafe(new["doc_id"]) & (plain["key"] == new["key"]), "left").select(plain["doc_id"], plain["key"], "base", "new")
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+    rank = F.create_map(*[F.lit(x) for i, k in enumerate(ALL_KINDS) for x in (k, i)])
     found = F.transform(F.coalesce("new", F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return joined.select("doc_id", "key", "base", found.alias("found"))
 
@@ -255,10 +325,12 @@ def extract(docs: DataFrame, rounds: int | None = None, support: int = SUPPORT,
 def redact(docs: DataFrame, **options: float) -> DataFrame:
     """All columns of `docs`, with `[KIND]` for each identifier in `text`."""
     spans = extract(docs, **options).dropDuplicates(["doc_id", "key"])
-    keyed = spans.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_sort(F.concat("base", "found")).alias("_spans"))
+    taken = {c.lower() for c in docs.columns}
+    ident, key, all_spans = (next(x for k in range(len(taken) + 1) if (x := f"_{name}{k}") not in taken) for name in ("id", "key", "spans"))
+    keyed = spans.select(F.col("doc_id").alias(ident), F.col("key").alias(key), F.array_sort(F.concat("base", "found")).alias(all_spans))
     text = F.coalesce("text", F.lit(""))
-    both = docs["doc_id"].cast("long").eqNullSafe(keyed["_id"]) & (F.xxhash64(text) == keyed["_key"])
-    return docs.join(keyed, both, "left").withColumn("text", masked(text, F.col("_spans"))).select(*docs.columns)
+    both = F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64(text) == F.col(key))
+    return docs.join(keyed, both, "left").withColumn("text", masked(text, F.col(all_spans))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -288,7 +360,7 @@ def _told(spans: Column) -> Column:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = extract(table(spark, sf_dir, "documents"))
-    return spans.select("doc_id", *map(_count, KINDS), F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.array_sort(F.concat("base", "found"))).alias("spans"))
+    return spans.select("doc_id", *map(_count, KINDS), F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
 QUERIES = {"op1_pii": op1_pii}

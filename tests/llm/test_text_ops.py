@@ -220,6 +220,79 @@ def test_pii_context_of_long_words_and_settling(spark):
     assert set(accepted(None)) > set(accepted(3)) and accepted(None) == pytest.approx(accepted(40), abs=1e-4)
 
 
+def scores_by_hand(found, support, least):
+    """Accepted patterns by plain rounds over the graph of all occurrences."""
+    links, seeds = collections.defaultdict(set), collections.defaultdict(dict)
+    for row in found:
+        for kind in (*pii.KINDS, "other"):
+            for s in row[kind]:
+                told = "secret" if s["secret"] else kind
+                for pattern in {s["pattern"], *s["forms"]} - {""}:
+                    links[pattern].add(s["value"])
+                    if told != "other":
+                        seeds[s["value"]][told] = 1.0
+    known = {v: dict(k) for v, k in seeds.items()}
+    while True:
+        accepted = {}
+        for pattern, values in links.items():
+            for kind in pii.ALL_KINDS:
+                backing = [known[v][kind] for v in values if kind in known.get(v, {})]
+                if len(backing) >= support and sum(backing) / (len(values) + 1) >= least:
+                    accepted[pattern, kind] = sum(backing) / (len(values) + 1)
+        now = {v: dict(k) for v, k in seeds.items()}
+        for (pattern, kind), score in accepted.items():
+            for v in links[pattern]:
+                now.setdefault(v, {})[kind] = max(now.get(v, {}).get(kind, 0.0), score)
+        if all(abs(now[v][k] - known.get(v, {}).get(k, -1)) < 1e-9 for v in now for k in now[v]):
+            return accepted
+        known = now
+
+
+def test_pii_scores_and_spans_by_hand(spark):
+    rnd = random.Random(12)
+    words = "a bc def gh ij klm no pq rs tu".split()
+
+    def say(x):
+        return " ".join([*rnd.choices(words, k=4), x, *rnd.choices(words, k=4)])
+
+    def key(n):
+        return "".join(rnd.choice("0123456789abcdef") for _ in range(n - 2)) + "7f"
+
+    texts = [say(f'token = "{key(40)}"') for _ in range(30)] + [say(f"call {n} now") for n in ("12", "7", "3x")]
+    texts += [say(f"+1 ({rnd.randint(100, 999)}) 555-{rnd.randint(1000, 9999)}") for _ in range(30)]
+    texts += [say(f"user: {name}@mail.org, ok") for name in words] + [say(f"user: {name}42, ok") for name in words[:3]]
+    short = [say('token = "s3cret"'), say('Token = "pw 12345"'), say("+1 (555) 555-1234 10.20.30.40"), say("version 2.0."), say('size = "7"')]
+    rows = [(k, t, 1, "k", "i") for k, t in enumerate([*texts, *short, None, ""])]
+    df = spark.createDataFrame([*rows, rows[0], (None, short[0], 1, "k", "i")], "doc_id long, text string, _id0 long, _key0 string, key string")
+    found = pii.occurrences(df).collect()
+    want = scores_by_hand(found, pii.SUPPORT, pii.SCORE)
+    got = {(r["pattern"], r["kind"]): r["score"] for r in pii.accepted_patterns(pii.occurrences(df)).collect()}
+    best = {}
+    for (pattern, kind), score in want.items():
+        best.setdefault(pattern, []).append((score, kind))
+    assert {p for p, _ in got} == set(best)
+    assert all(score == pytest.approx(max(best[p])[0], abs=1e-5) for (p, _), score in got.items())
+    assert {"< token = \"", "= +0 (000) 000-0000"} <= {p for p, _ in got}
+    spans = {}
+    for row in found:
+        hits = {(s["start"], s["end"]) for s in row["other"] if {s["pattern"], *s["forms"]} & set(best)}
+        spans.setdefault((row["doc_id"], row["key"]), hits)
+    extracted = pii.extract(df).collect()
+    assert len(extracted) == df.count()
+    assert all({(s["start"], s["end"]) for s in r["found"]} == spans[r["doc_id"], r["key"]] for r in extracted)
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    at = len(rows) - 2 - len(short)
+    assert 'token = "[SECRET]"' in texts[at] and 'token = "[SECRET]"' in texts[None] and "[PHONE] [IP]" in texts[at + 2]
+    assert texts[at + 3] == short[3] and texts[at + 4] == short[4]
+
+
+def test_pii_shapes(spark):
+    df = spark.createDataFrame([("+1 (555)\t555-1234",), ("s3cret",), ("Ab12-3",), ("x",), ("2026-01-01T00:00:00Z",), ("é1é",)], "v string")
+    assert [r[0] for r in df.select(pii.shape(df["v"])).collect()] == ["+0 (000) 000-0000", "x", "x-0", "a", "0000-00-x:00:x", "x"]
+
+
 def statistics_of(text):
     words = re.findall("[^\x20\x09-\x0d]+", text or "")
     seen = collections.Counter(zip(words, words[1:], words[2:]))
