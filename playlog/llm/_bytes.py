@@ -18,18 +18,11 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def _byte_codes(lower: bool) -> np.ndarray:
-    """A fixed random 64-bit code for each byte; with `lower`, A-Z share a-z's."""
-    codes = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
-    if lower:
-        codes[65:91] = codes[97:123]
-    return codes
-
-
-_CODES = {True: _byte_codes(True), False: _byte_codes(False)}
+#: Keeps the first k bytes of a little-endian load.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,49 +35,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        done = 1
-        step = np.uint64(base)
-        while done < n:
-            take = min(done, n - done)
-            np.multiply(out[:take], step, out=out[done : done + take])
-            done += take
-            step = step * step
-    return out
-
-
-def join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts as one buffer, a newline after each, and the offset of each text
-    (one more offset than texts)."""
+def join(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The texts as one string, a newline after each and eight more at the end, and the
+    offset of each text (one more offset than texts)."""
     lens = np.fromiter((len(x) for x in texts), dtype=np.int64, count=len(texts))
     starts = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(lens + 1, out=starts[1:])
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8) if texts else np.zeros(0, np.uint8)
-    return buf, starts
+    return b"\n".join([*texts, b"\n" * 8]), starts
 
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of every text, in order, and for each text the
-    number of the first word (one more entry than texts)."""
-    buf, starts = join(texts)
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    number of the first word (one more entry than texts).  A word is taken in eight bytes
+    at a time, each step mixing all bits so far, so that no arithmetic relation between
+    words carries over to their hashes."""
+    raw, starts = join(texts)
+    raw = raw.translate(_LOWER) if lower else raw
+    buf = np.frombuffer(raw, dtype=np.uint8)
     space = _SPACE[buf]
     edge = np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1))
     first = np.flatnonzero(edge == -1)
-    last = np.flatnonzero(edge == 1)
+    left = np.flatnonzero(edge == 1) - first  # bytes of each word not yet taken in
+    loads = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        powers = _powers(_ODD, len(buf))
-        np.cumsum(_CODES[lower][buf] * powers, out=sums[1:])
-        words = sums[last] - sums[first]
-        inverse = _powers(_ODD_INV, len(buf))
-        words *= inverse[first]
-        words = mix(words + (last - first).astype(np.uint64))
-    return words, np.searchsorted(first, starts)
+        out = mix(left.astype(np.uint64) * _ODD)
+        at, who = first, None
+        while len(at):
+            part = loads[at] & _HEAD[np.minimum(left, 8)]
+            now = mix((out if who is None else out[who]) ^ part * _ODD)
+            if who is None:
+                out = now
+            else:
+                out[who] = now
+            more = np.flatnonzero(left > 8)
+            at, left = at[more] + 8, left[more] - 8
+            who = more if who is None else who[more]
+    return out, np.searchsorted(first, starts)
 
 
 #: Bytes of text that are hashed at a time, so that few arrays of that length are held.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,5 +33,16 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def keyed_texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `texts_of`, with `rid` and `key`: two hashes of the text, the first of the id as
+    well, which tell rows apart that share an id or have none."""
+    return texts_of(docs, id_col, text_col).select("*", *row_keys())
+
+
+def row_keys() -> list[Column]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(F.col("doc_id").cast("long"), text, F.lit(17)).alias("rid"), F.xxhash64(text).alias("key")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

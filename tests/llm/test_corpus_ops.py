@@ -79,6 +79,71 @@ def test_jaccard_components(spark, monkeypatch, listed, width, threshold):
     assert jaccard.join_documents(df.limit(0)).count() == 0
 
 
+def near_copies(seed, sizes=(60, 25)):
+    """Groups of near copies with texts that link two of them, and ones that merely share a passage."""
+    rnd = random.Random(seed)
+    texts, bases = [], [words(rnd, 60, 10**6) for _ in sizes]
+    for base, n in zip(bases, sizes):
+        for k in range(n):
+            c = list(base)
+            c[rnd.randrange(60)] = f"e{k}"
+            texts.append(" ".join(c))
+    texts += [" ".join(bases[0][:48] + words(rnd, 12, 10**6)) for _ in range(30)]
+    chain = list(bases[1])
+    for k in range(12):  # each like the one before it only
+        chain = chain[:]
+        chain[5 * k] = f"f{k}"
+        texts.append(" ".join(chain))
+    return texts
+
+
+@pytest.mark.parametrize(("part", "group", "clash"), [(4, 2_000, False), (7, 10**6, True), (10**6, 500, True)])
+def test_jaccard_of_hot_lists_and_groups(spark, monkeypatch, part, group, clash):
+    """Long lists and large groups in parts, and first hashes that name several classes."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "LISTED", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    if clash:
+        real = jaccard.signature
+
+        def sign(s):
+            one, two = real(s)
+            return one % 97, two
+
+        monkeypatch.setattr(jaccard, "signature", sign)
+    rows = list(enumerate([*near_copies(2), *corpus(3, 12), *corpus(3, 12)[:5]]))
+    random.Random(5).shuffle(rows)
+    df = spark.createDataFrame([*rows, rows[0], rows[1]], "doc_id long, text string")
+    for width, threshold in ((4, 85), (5, 60)):
+        want = linked_by_hand(rows, width, threshold)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(df, width, threshold).collect()}
+        assert got == want
+
+
+def test_jaccard_of_repeated_and_missing_ids(spark):
+    rnd = random.Random(8)
+    a, b, c = (" ".join(words(rnd, 40, 10**6)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, a), (7, b + " more"), (None, a), (None, c), (None, c + " too"), (9, ""), (9, None), (None, None)]
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["stays"]) for r in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())
+    assert got == collections.Counter({(5, 37, 5, True): 3, (7, 38, 5, False): 1, (None, 37, 5, False): 1, (None, 37, None, True): 1, (None, 38, None, False): 1, (9, 0, 9, True): 2, (None, 0, None, True): 1}) or got == collections.Counter({(5, 37, 5, True): 3, (7, 38, 5, False): 1, (None, 37, 5, False): 1, (None, 38, None, True): 1, (None, 37, None, False): 1, (9, 0, 9, True): 2, (None, 0, None, True): 1})
+
+
+def test_word_hashes_tell_words_apart():
+    from playlog.llm import _bytes
+
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rnd = random.Random(4)
+    texts = [f"{word} {other}", "", " x\ty ", *(" ".join("".join(rnd.choice("abAé") for _ in range(rnd.randint(1, 40))) for _ in range(rnd.randint(0, 30))) for _ in range(300))]
+    found, at = _bytes.word_hashes([t.encode() for t in texts])
+    flat = [w for t in texts for w in re.findall("[^\x20\x09-\x0d]+", t.translate(LOWER))]
+    assert len(found) == len(flat) and at.tolist()[:4] == [0, 2, 2, 4]
+    assert len(set(zip(flat, found.tolist()))) == len(set(flat)) == len(set(found.tolist()))
+
+
 def test_bins_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(100):
