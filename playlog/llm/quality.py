@@ -1,17 +1,19 @@
 """Quality rules: a decision list learned by sequential covering.
 
 Statistics of every whole text are Spark expressions.  On labelled documents rules are
-grown one after another: each is a conjunction of thresholds on the statistics, grown
+grown one after another, until none is precise: each is a conjunction of thresholds on the statistics, grown
 condition by condition by information gain over quantile grids, pruned back on a held
 part of the labels, and kept only if precise there.  What a rule covers is left out when
-the next is grown.  The list is emitted as one ordered conditional expression.  Growing
+the next is grown, and the grids, finer in their tails, are taken anew over the rows left
+in the rule that grows.  The list is emitted as one ordered conditional expression.  Growing
 and pruning see the data through grouped counts of (statistic, grid cell), which Spark
 sums over all labelled rows; nothing is sampled, and the driver gets the counts only.
 
 Defined results: null text has no words; a text without words fails the base rules.
 Labels that are null are not used, and of several labels of an id the lowest counts.
 Without labels, or with labels of one kind only, the list is empty and the base rules
-decide.  Repeated rows are judged alike; other columns don't matter.
+decide.  Repeated rows are judged alike, rows that share an id or have none each by its own text
+(`rid` and `key` tell them apart); other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm._spark import cut, table, texts_of
+from playlog.llm._spark import cut, keyed_texts_of, table
 
-#: Rules in a list, conditions in a rule, cells of a grid.
-RULES, CONDITIONS, CELLS = 8, 3, 24
+#: Conditions in a rule; the quantiles that a grid has, and their relative precision.
+CONDITIONS = 3
+_TAIL = (0.0005, 0.001, 0.002, 0.005, 0.01, 0.015, 0.02, 0.03)
+QUANTILES = (*_TAIL, *(k / 24 for k in range(1, 24)), *(1 - x for x in reversed(_TAIL)))
+GRID_ACCURACY = 20_000
 #: Least share of bad documents among those a rule covers in the held part of the
 #: labels, and the least number of those it covers there.
 PRECISION, SUPPORT = 0.95, 5
@@ -57,7 +62,7 @@ def _covered(positions: Column) -> Column:
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id` and the statistics of each whole text (all long)."""
+    """`doc_id`, `rid`, `key` and the statistics of each whole text (all long)."""
     text = F.col("text")
     words = F.filter(F.split(F.translate(text, _GAPS, " " * len(_GAPS)), " "), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
@@ -65,8 +70,10 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def without(chars: str) -> Column:
         return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
-    first = texts_of(docs, id_col, text_col).select(
+    first = keyed_texts_of(docs, id_col, text_col).select(
         "doc_id",
+        "rid",
+        "key",
         words.alias("words"),
         lines.alias("lines"),
         F.length(F.translate(text, " " + _GAPS, "")).cast("long").alias("word_chars"),
@@ -119,6 +126,8 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slow = F.transform(F.array(windows), twice)
     return third.select(
         "doc_id",
+        "rid",
+        "key",
         *[c for c in STATS if c != "n_repeat_words"],
         F.when((F.size(words) > _POSITION_MASK) | clash, F.get(slow, F.lit(0))).otherwise(quick).cast("long").alias("n_repeat_words"),
     )
@@ -187,10 +196,25 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else -1.0
 
 
-def _grown(rows: DataFrame, grids: dict[str, list[float]], rule: list[Condition]) -> Condition | None:
+def _grids(rows: DataFrame) -> dict[str, list[float]]:
+    """Thresholds of each measure over these rows."""
+    found = rows.agg(*[F.percentile_approx(x, list(QUANTILES), GRID_ACCURACY).alias(name) for name, x in measures().items()]).collect()[0]
+    return {name: sorted(set(found[name])) for name in measures() if found[name]}
+
+
+def _grown(rows: DataFrame, rule: list[Condition]) -> Condition | None:
     """The condition to add, from counts of each grid cell among the rows of the rule."""
-    names = list(grids)
-    cells = rows.where(_all(rule)).select("bad", F.posexplode(F.array(*[F.col(f"cell_{k}") for k in range(len(names))])).alias("k", "cell"))
+    inside = rows.where(_all(rule))
+    grids = _grids(inside)
+    names, named = list(grids), measures()
+    if not names:
+        return None
+
+    def cell(name: str) -> Column:
+        """How many thresholds are below the value."""
+        return F.size(F.filter(F.array(*map(F.lit, grids[name])), lambda t: t < named[name]))
+
+    cells = inside.select("bad", F.posexplode(F.array(*map(cell, names))).alias("k", "cell"))
     counts = cells.groupBy("k", "cell").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()
     by: dict[int, dict[int, tuple[int, int]]] = {}
     for r in counts:
@@ -201,14 +225,14 @@ def _grown(rows: DataFrame, grids: dict[str, list[float]], rule: list[Condition]
         if not p0 or not n0:
             return None
         p = n = 0
-        for cell, threshold in enumerate(grids[names[k]]):
-            a, b = got.get(cell, (0, 0))
+        for place, threshold in enumerate(grids[names[k]]):
+            a, b = got.get(place, (0, 0))
             p, n = p + a, n + b
             for above, x, y in ((False, p, n), (True, p0 - p, n0 - n)):
                 gain = _gain(x, y, p0, n0)
                 if gain > 0 and (best is None or gain > best[0] + 1e-9):
                     best = (gain, Condition(names[k], above, threshold))
-    return _centred(rows.where(_all(rule)), best[1]) if best else None
+    return _centred(inside, best[1]) if best else None
 
 
 def _centred(rows: DataFrame, c: Condition) -> Condition:
@@ -224,24 +248,13 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> De
     `stats` that the base rules keep."""
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min(label_col) == 0).cast("int").alias("bad"))
     known = stats.where(~base_failed()).join(marked, "doc_id")
-    named = measures()
-    quantiles = [k / CELLS for k in range(1, CELLS)]
-    found = known.agg(*[F.percentile_approx(x, quantiles, 2000).alias(name) for name, x in named.items()]).collect()[0]
-    grids = {name: sorted(set(found[name])) for name in named if found[name]}
-    if not grids:
-        return DecisionList()
-
-    def cell(name: str) -> Column:
-        return sum((F.when(named[name] > t, 1).otherwise(0) for t in grids[name]), F.lit(0))
-
-    rows = cut(
-        known.select(*STATS, "bad", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)) == 0).alias("held"), *[cell(name).alias(f"cell_{k}") for k, name in enumerate(grids)])
-    )
+    rows = cut(known.select(*STATS, "bad", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)) == 0).alias("held")))
     out = DecisionList()
-    while len(out.rules) < RULES:
+    # Each rule takes SUPPORT or more bad rows of the held part away, so this ends.
+    while True:
         left = rows.where(out.expression().isNull())
         rule: list[Condition] = []
-        while len(rule) < CONDITIONS and (more := _grown(left.where(~F.col("held")), grids, rule)):
+        while len(rule) < CONDITIONS and (more := _grown(left.where(~F.col("held")), rule)):
             rule.append(more)
         if not rule:
             break
@@ -261,7 +274,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     of every document."""
     stats = cut(text_stats(docs))
     rules = learn(stats, labels)
-    return stats.select("doc_id", *STATS, base_failed().alias("base_failed"), rules.expression().alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return stats.select("doc_id", "rid", "key", *STATS, base_failed().alias("base_failed"), rules.expression().alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlog.llm._bytes import mix, ranges, release, steady
-from playlog.llm._spark import table, texts_of
+from playlog.llm._spark import keyed_texts_of, table
 
 LEAST = 50
 ANCHOR = 16
@@ -337,7 +337,7 @@ class Plan:
         return pa.table({"batch": part.column("batch"), "part": part.column("part"), "shard": pa.array([True] * len(bits)), "data": pa.array(bits, pa.binary())})
 
     def remove(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "kept": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "rid": pa.int64(), "key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "kept": pa.binary()}
         out: dict[str, list] = {k: [] for k in kinds}
         if docs.num_rows:
             batch, text, one, edge = self._candidates(docs, self._told(answers, False))
@@ -359,13 +359,14 @@ class Plan:
             begun = np.cumsum(begun, dtype=np.int32)  # windows to go that ended before each place
             off = np.zeros(len(batch.buf), dtype=bool)
             off[: len(begun) - self.least] = begun[self.least :] > begun[: -self.least]
-            nulls = docs.column("doc_id").to_pylist()
+            nulls, rids, keys = (docs.column(c).to_pylist() for c in ("doc_id", "rid", "key"))
             for k, i in enumerate(batch.order):
                 lo, hi = int(batch.starts[k]), int(batch.ends[k])
                 mask = off[lo:hi]
                 change = np.diff(mask.view(np.int8), prepend=np.int8(0), append=np.int8(0))
                 starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-                out["doc_id"].append(nulls[i])
+                for name, x in (("doc_id", nulls), ("rid", rids), ("key", keys)):
+                    out[name].append(x[i])
                 out["n_bytes"].append(hi - lo)
                 out["n_removed"].append(int((ends - starts).sum()))
                 out["n_spans"].append(len(starts))
@@ -379,17 +380,18 @@ class Plan:
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its size, what is removed (`starts`, `ends` in bytes) and `kept`, the
-    bytes that stay; with `characters` without what is left of a cut character."""
-    texts = texts_of(docs, id_col, text_col)
+    bytes that stay; with `characters` without what is left of a cut character.  `rid` and
+    `key`, hashes of the row, tell rows apart that share an id."""
+    texts = keyed_texts_of(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     plan = Plan(size, least, characters)
-    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(plan.batches)))
+    dealt = texts.withColumn("batch", F.pmod("rid", F.lit(plan.batches)))
     by_batch = dealt.groupBy("batch")
     answer = "batch long, part int, shard boolean, data binary"
     bits = by_batch.applyInArrow(lambda t: plan.anchors(t), "batch long, bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: plan.twice(t), answer)
     stretches = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(lambda a, b: plan.stretches(a, b), "batch long, part int, bytes binary, windows binary, ids binary, subs binary")
     masks = stretches.groupBy("part").applyInArrow(lambda t: plan.expand(t), answer)
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary"
+    out = "doc_id long, rid long, key long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary"
     return by_batch.cogroup(bits.unionByName(masks).groupBy("batch")).applyInArrow(lambda a, b: plan.remove(a, b), out)
 
 

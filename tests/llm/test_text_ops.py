@@ -334,6 +334,43 @@ def test_quality_list_is_learned(spark):
     assert none.where("kept").count() == 240
 
 
+def test_quality_list_finds_small_and_many_kinds(spark):
+    """Six kinds of bad documents, each under a fiftieth of the labelled ones, beside good ones
+    of similar measures."""
+    rnd = random.Random(9)
+
+    def words(n, size=6):
+        return ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(size - 2, size + 2))) for _ in range(n)]
+
+    def bad(kind):
+        w = words(80)
+        if kind == 0:
+            return " ".join(x + "***" for x in w)
+        if kind == 1:
+            return " ".join(x.upper() for x in w)
+        if kind == 2:
+            return " ".join(str(rnd.randint(10**5, 10**6)) for _ in w)
+        if kind == 3:
+            return " ".join(x + "!!!" for x in w)
+        if kind == 4:
+            return " ".join(words(80, 40))
+        return "\n".join([" ".join(w[:20])] * 3 + w)
+
+    rows = [(k, " ".join(words(rnd.randint(70, 200)))) for k in range(1800)]
+    rows += [(2000 + k, bad(k % 6)) for k in range(216)]
+    labels = [(d, 0 if d >= 2000 else 1) for d, _ in rows]
+    df, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df, told).collect()}
+    assert sum(got[d] for d in got if d < 2000) >= 1790 and sum(got[d] for d in got if d >= 2000) <= 6
+
+
+def test_quality_rows_without_id_or_of_one_id(spark):
+    good = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(5, ""), (5, good), (None, good), (None, None), (5, good)], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_words"], r["kept"]) for r in quality.judge(df, spark.createDataFrame([], "doc_id long, quality int")).collect())
+    assert got == collections.Counter({(5, 0, False): 1, (5, 60, True): 2, (None, 60, True): 1, (None, 0, False): 1})
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"]
     rows = [(1, mit.upper().replace("COPYRIGHT (C) THE AUTHORS", "COPYRIGHT 2020 X")), (2, "text\nReleased under the MIT Licence.\nAll rights reserved.\n  released UNDER the mit license"), (3, None), (3, None), (None, "All rights reserved."), (4, "Released under the MIT License, or not")]
