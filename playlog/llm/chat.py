@@ -1,8 +1,10 @@
 """Chat formatting with a loss mask aligned by offsets.
 
 A conversation becomes one string: for each turn `<|turn|>`, the role, `<|text|>`, the
-text, `<|end|>`.  It is encoded once, with offsets; the three control strings are ids of
-their own, so no other token crosses them.  The spans of the trained role's texts are
+text, `<|end|>`.  It is encoded once; the three control strings are ids of
+their own, so no other token crosses them.  Byte-level tokens are stretches of the text's
+bytes, so their offsets are running sums of their lengths, told in code points; tokens that
+share a character all have the whole of it.  The spans of the trained role's texts are
 sorted and disjoint, as are the tokens'; a binary search finds each token's span and
 the mask is whether they meet.
 
@@ -11,14 +13,15 @@ backslashes, `|` one backslash is added before the bar, so `<|` never stays.
 
 Defined results: null role or text is the empty one; rows go by turn (null first), ties
 by role and text; repeated rows are repeated turns; an empty table gives no
-conversations.  A conversation is the unit of work and is held whole.
+conversations.  A conversation is the unit of work and is held whole.  Columns other than
+the four are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 
@@ -64,27 +67,51 @@ def overlap_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, in
     return (at < len(lo)) & (lo[np.minimum(at, len(lo) - 1)] < ends) & (ends > starts)
 
 
-@functools.lru_cache(2)
-def chat_tokenizer(path: str):
-    from tokenizers import AddedToken, Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
+#: Characters of conversations that are encoded before they're passed on.
+SLICE = 2_000_000
+
+
+class ChatEncoder:
+    """Byte-level BPE by the `tiktoken` library from a file of ranks, with the control
+    strings as the next ids but one (the file's own end mark is never used)."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
+        first = max(ranks.values()) + 2
+        control = {x: first + k for k, x in enumerate((TURN, TEXT, END))}
+        self.encoding = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=control)
+        self.control = frozenset(control)
+        self.size = np.zeros(first + len(control), dtype=np.int64)
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
+        for x, i in control.items():
+            self.size[i] = len(x)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and where each token starts and ends (code points)."""
+        ids = self.encoding.encode_to_numpy(text, allowed_special=self.control, disallowed_special=())
+        ends = np.cumsum(self.size[ids])
+        starts = ends - self.size[ids]
+        raw = text.encode()
+        if len(raw) != len(text) and len(ids):
+            begun = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # characters begun up to each byte
+            starts, ends = begun[starts] - 1, begun[ends - 1]
+        return ids, starts, ends
+
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    spec["post_processor"] = None  # it would trim white space from the offsets
-    tokenizer = Tokenizer.from_str(json.dumps(spec))
-    tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, trim_offsets=False)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    tokenizer.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (TURN, TEXT, END)])
-    return tokenizer
+@functools.lru_cache(2)
+def chat_encoder(path: str) -> ChatEncoder:
+    return ChatEncoder(path)
 
 
 FORMATTED = "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
 
 
-def format_conversations(rows: DataFrame, tokenizer: str, trained: str = "assistant") -> DataFrame:
-    """Per conversation the formatted text, its ids, their offsets and the loss mask."""
+def _conversations(rows: DataFrame) -> DataFrame:
     turns = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(
@@ -93,29 +120,39 @@ def format_conversations(rows: DataFrame, tokenizer: str, trained: str = "assist
             F.coalesce(F.col("text"), F.lit("")).alias("text"),
         ).alias("said"),
     )
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said")).select("conv_id", F.col("said.role").alias("roles"), F.col("said.text").alias("texts"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chat_tokenizer(tokenizer)
-        for batch in batches:
-            ids, starts, ends, loss, texts, conv = [], [], [], [], [], []
-            for key, roles, said in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "roles", "texts")), strict=True):
-                text, spans = render([*zip(roles, said, strict=True)], trained)
-                got = encoder.encode(text, add_special_tokens=False)
-                offsets = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)
-                conv.append(key)
-                texts.append(text)
-                ids.append(got.ids)
-                starts.append(offsets[:, 0])
-                ends.append(offsets[:, 1])
-                loss.append(overlap_mask(offsets[:, 0], offsets[:, 1], spans))
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(conv, pa.int64()), pa.array(texts, pa.string()), pa.array(ids, ints), pa.array(starts, ints), pa.array(ends, ints), pa.array(loss, pa.list_(pa.bool_()))],
-                names=["conv_id", "formatted", "ids", "starts", "ends", "loss"],
-            )
-
-    return whole.mapInArrow(run, FORMATTED)
+    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    return whole.select("conv_id", F.col("said.role").alias("roles"), F.col("said.text").alias("texts"))
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    flat = np.concatenate(parts) if parts else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
+
+
+def _format(batches: Iterator[pa.RecordBatch], tokenizer: str, trained: str) -> Iterator[pa.RecordBatch]:
+    """Rows of FORMATTED from rows of `_conversations`, a few at a time."""
+    encoder = chat_encoder(tokenizer)
+    for batch in batches:
+        out: list[list] = [[] for _ in range(6)]
+        held = 0
+        for i in range(batch.num_rows):
+            key, roles, said = (batch.column(c)[i].as_py() for c in ("conv_id", "roles", "texts"))
+            text, spans = render([*zip(roles, said, strict=True)], trained)
+            ids, starts, ends = encoder.encode(text)
+            for column, x in zip(out, (key, text, ids, starts, ends, overlap_mask(starts, ends, spans)), strict=True):
+                column.append(x)
+            held += len(text)
+            if held >= SLICE or i == batch.num_rows - 1:
+                kinds = (*[pa.int32()] * 3, pa.bool_())
+                arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(_lists(x, k) for x, k in zip(out[2:], kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "formatted", "ids", "starts", "ends", "loss"])
+                out, held = [[] for _ in range(6)], 0
+
+
+def format_conversations(rows: DataFrame, tokenizer: str, trained: str = "assistant") -> DataFrame:
+    """Per conversation the formatted text, its ids, their offsets and the loss mask."""
+    return _conversations(rows).mapInArrow(lambda batches: _format(batches, tokenizer, trained), FORMATTED)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -123,49 +160,60 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _PARTS.findall(formatted)]
 
 
-def masked_text(formatted: str, starts: list[int], ends: list[int], loss: list[bool]) -> str:
-    """All text under the mask, unescaped; characters that several tokens share count once."""
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> str:
+    """All text under the mask, unescaped run by run; characters that several tokens share count once."""
+    starts, ends = np.asarray(starts, dtype=np.int64), np.asarray(ends, dtype=np.int64)
+    edge = np.diff(np.asarray(loss, dtype=np.int8), prepend=np.int8(0), append=np.int8(0))
     out, done = [], 0
-    run: list[str] = []
-    for a, b, on in zip(starts, ends, loss, strict=True):
-        if on:
-            run.append(formatted[max(a, done) : b])
-            done = max(done, b)
-        elif run:
-            out.append(unescape("".join(run)))
-            run = []
-    return "".join([*out, unescape("".join(run))])
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        end = int(ends[b - 1])
+        out.append(unescape(formatted[max(int(starts[a]), done) : end]))
+        done = end
+    return "".join(out)
+
+
+_DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _DIGESTS from rows of FORMATTED."""
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    for batch in batches:
+        flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("starts", "ends", "loss")]
+        at = batch.column("starts").offsets.to_numpy()
+        at = (at - at[0]).tolist() if len(at) else [0]
+        columns: list[list] = [[] for _ in kinds]
+        for i, (key, formatted) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), strict=True)):
+            turns = parse(formatted)
+            learnt = masked_text(formatted, *(x[at[i] : at[i + 1]] for x in flat))
+            said = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+            row = (key, len(turns), said, len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(formatted))
+            for column, x in zip(columns, row, strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of turns and of the text under the mask, read from the formatted output alone."""
+    return formatted.mapInArrow(_read, _DIGESTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                turns = parse(r["formatted"])
-                learnt = masked_text(r["formatted"], r["starts"], r["ends"], r["loss"])
-                said = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
-                rows.append((r["conv_id"], len(turns), said, len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(r["formatted"])))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            columns = [*zip(*rows, strict=True)] if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def format_and_read_back(rows: DataFrame, tokenizer: str, trained: str = "assistant") -> DataFrame:
+    """Both in one pass, so that the formatted output needn't be moved."""
+    return _conversations(rows).mapInArrow(lambda batches: _read(_format(batches, tokenizer, trained)), _DIGESTS)
 
 
 def chat_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return read_back(format_conversations(rows.unionByName(extra), chat_vocabulary()))
+    return format_and_read_back(rows.unionByName(extra), chat_vocabulary())
 
 
 QUERIES = {"op7_chat": op7_chat}

@@ -67,7 +67,9 @@ def test_bpe_of_odd_letters_and_marks(library):
 
 
 def test_bpe_refuses_other_rules():
-    other = chat.chat_vocabulary()
+    import public_tokenizers
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
     for kind in (bpe.SegmentTreeBpe, packing.CachedTokenizer):
         with pytest.raises(ValueError, match="normalizer"):
             kind(other)
@@ -151,6 +153,34 @@ def test_chat_round_trip_and_mask(spark):
     assert chat.format_conversations(df.limit(0), chat.chat_vocabulary()).count() == 0
 
 
+def test_chat_offsets_are_the_library_s(spark):
+    """ids and offsets of the whole formatted text, as the other library finds them."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f) | {"post_processor": None}
+    library = tokenizers.Tokenizer.from_str(json.dumps(spec))
+    library.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False)
+    library.add_special_tokens([tokenizers.AddedToken(x, normalized=False, special=True) for x in (chat.TURN, chat.TEXT, chat.END)])
+    encoder = chat.chat_encoder(chat.chat_vocabulary())
+    for text in odd_texts(4, 400):
+        whole, spans = chat.render([("user", text or ""), ("assistant", f"{text} 🎉é日")], "assistant")
+        want = library.encode(whole, add_special_tokens=False)
+        ids, starts, ends = encoder.encode(whole)
+        assert ids.tolist() == want.ids and [*zip(starts.tolist(), ends.tolist())] == want.offsets
+        learnt = chat.masked_text(whole, starts, ends, chat.overlap_mask(starts, ends, spans))
+        assert learnt == f"{text} 🎉é日"
+
+
+def test_chat_in_one_pass(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"{'word é ' * c}<|end|>{t}", 1) for c in range(40) for t in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, said int")
+    both = chat.read_back(chat.format_conversations(df, chat.chat_vocabulary())).collect()
+    assert sorted(map(tuple, both)) == sorted(map(tuple, chat.format_and_read_back(df, chat.chat_vocabulary()).collect()))
+
+
 def base_spans(text):
     def luhn(d):
         return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
