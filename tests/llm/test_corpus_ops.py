@@ -296,3 +296,27 @@ def test_neighbours(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0)).count() == 0
     few = vectors.where("vec_id < 5")
     assert ann.search(few, few.where("vec_id = 0")).count() == 4
+
+
+def test_neighbours_of_repeated_ids_and_common_vectors(spark):
+    """Many blocks and parts, one vector in a third of the rows, ids that occur several times."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[rng.choice(600, 200, replace=False)] = x[0]
+    ids = [k if k % 7 else k // 14 * 14 for k in range(600)]
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1, 2) for i, r in zip(ids, x)], "vec_id long, embedding array<float>, h1 int, part int")
+    vectors = ann.usable(df)
+    queries = vectors.where("vec_id % 20 = 0")
+    got = collections.defaultdict(list)
+    for r in ann.search(vectors, queries, block_rows=100, query_rows=7, rerank_rows=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    y, hits, total = x.astype(np.float64), 0, 0
+    assert set(got) == {i for i in ids if i % 20 == 0}
+    for q, found in got.items():
+        own = min(tuple(v) for i, v in zip(ids, y) if i == q)
+        score = (y * np.array(own)).sum(1)
+        order = [(ids[k], score[k]) for k in np.lexsort((ids, -score)) if ids[k] != q][:20]
+        hits += len(set(found) & {(i, s) for i, s in order})
+        total += len(set(order))
+        assert len(found) == 20 and [s for _, s in found] == sorted((s for _, s in found), reverse=True)
+    assert hits >= 0.9 * total
