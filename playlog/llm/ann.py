@@ -43,7 +43,7 @@ from playlog.llm._spark import cut, table
 SAMPLE, BOOKS, WORDS, ROUNDS, BEAM = 16_384, 32, 256, 4, 2
 #: Candidates of a query that are reranked; entries of a block, and of a block at least where
 #: there are cores enough; queries of a part, and of a part when reranking.
-SHORTLIST, BLOCK_ROWS, LEAST_ROWS, QUERY_ROWS, RERANK_ROWS = 256, 131_072, 4_096, 8_192, 512
+SHORTLIST, BLOCK_ROWS, LEAST_ROWS, QUERY_ROWS, RERANK_ROWS = 128, 131_072, 4_096, 8_192, 512
 
 
 class AdditiveQuantiser:
@@ -85,11 +85,19 @@ class AdditiveQuantiser:
             rest, path = part[:, None, :], np.zeros((n, 1, 0), dtype=np.uint8)
             loss = (part**2).sum(1)[:, None]
             for book, square in zip(self.books, self.squares, strict=True):
-                now = loss[:, :, None] + square - 2 * (rest.reshape(-1, rest.shape[2]) @ book.T).reshape(n, rest.shape[1], -1)
-                flat = now.reshape(n, -1)
-                best = np.argpartition(flat, min(beam, flat.shape[1]) - 1, axis=1)[:, :beam]
-                parent, word = best // len(book), best % len(book)
-                loss = flat[rows, best]
+                now = (rest.reshape(-1, rest.shape[2]) @ (-2 * book.T) + square).reshape(n, rest.shape[1], -1)
+                # each path's best words, then the best of all paths
+                near, gain = [], []
+                for _ in range(min(beam, len(book))):
+                    word = np.argmin(now, axis=2)[:, :, None]
+                    near.append(word)
+                    gain.append(np.take_along_axis(now, word, axis=2))
+                    np.put_along_axis(now, word, np.inf, axis=2)
+                word, total = np.concatenate(near, axis=2), np.concatenate(gain, axis=2) + loss[:, :, None]
+                each = word.shape[2]
+                word, total = word.reshape(n, -1), total.reshape(n, -1)
+                best = np.argsort(total, axis=1, kind="stable")[:, :beam]
+                parent, word, loss = best // each, word[rows, best], total[rows, best]
                 rest = rest[rows, parent] - book[word]
                 path = np.concatenate([path[rows, parent], word[:, :, None].astype(np.uint8)], axis=2)
             win = np.argmin(loss, axis=1)
