@@ -16,8 +16,9 @@ id.  Strings are compared in full, over all documents:
    is left unbounded shares 50 bytes or more; its least id decides.
 4. Shards answer with one bit for each window of a stretch, batches apply the answers.
 
-Neither a shard nor a bucket sees more than one entry for each batch and distinct
-stretch, whatever the number of copies.
+A bucket sees an anchor once for each batch, whatever the number of copies; a shard sees a
+stretch once for each batch or, where there are more than FAN batches, once for each FAN of
+them, whose equal stretches are merged on the way to the shard and told apart on the way back.
 
 Defined results: null text is the empty text.  Rows without an id come after all ids.
 Rows that share an id don't remove each other's bytes.  Texts shorter than 50 bytes stay.
@@ -38,6 +39,8 @@ ANCHOR = 16
 #: Text bytes of a batch, of all anchors that meet in a bucket, and of a shard's share; in
 #: how many texts, one after the other, a shard is transformed.
 BATCH, BUCKET, SHARD, PARTS = 2_000_000, 24_000_000, 16_000_000, 16
+#: Batches whose stretches are merged before they meet those of others.
+FAN = 2_048
 _LAST = np.iinfo(np.int64).max
 _END = 0xFF  # never in UTF-8
 _CHUNK = 1 << 17
@@ -106,11 +109,15 @@ class Batch:
         self.owner = np.searchsorted(self.ends, self.first, side="right")
         self.hash = hashes[place[first]]
 
-    def by_part(self, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-        """The runs in order of the bucket or shard of their anchors, and where each begins."""
-        part = (mix(self.hash ^ np.uint64(salt)) % np.uint64(parts)).astype(np.int64)
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The batch's distinct anchors in order of their buckets, where each bucket begins,
+        each run's place among them, and whether the batch itself has the anchor twice."""
+        anchor, which, n = np.unique(self.hash, return_inverse=True, return_counts=True)
+        part = (mix(anchor ^ np.uint64(_SALT_BUCKET)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(parts + 1))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return anchor[order], np.searchsorted(part[order], np.arange(buckets + 1)), place[which], n[order] > 1
 
     def keep(self, runs: np.ndarray) -> None:
         self.first, self.windows, self.owner, self.hash = (x[runs] for x in (self.first, self.windows, self.owner, self.hash))
@@ -244,8 +251,8 @@ class Plan:
 
     def anchors(self, docs: pa.Table) -> pa.Table:
         batch = Batch(docs, self.least)
-        order, edge = batch.by_part(self.buckets, _SALT_BUCKET)
-        raw = batch.hash[order].view(np.uint8).reshape(-1, 8)[:, :5]
+        anchor, edge, _, _ = batch.by_bucket(self.buckets)
+        raw = anchor.view(np.uint8).reshape(-1, 8)[:, :5]
         out = [(b, raw[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if hi > lo]
         release()
         return pa.table({"batch": pa.array([docs.column("batch")[0].as_py()] * len(out), pa.int64()), "bucket": pa.array([x[0] for x in out], pa.int32()), "data": pa.array([x[1] for x in out], pa.binary())})
@@ -273,12 +280,11 @@ class Plan:
         """The batch with its repeated runs only, in order of shards; the number of each
         run's text; one run (of the least id) for each text, in that order; shard edges."""
         batch = Batch(docs, self.least)
-        order, edge = batch.by_part(self.buckets, _SALT_BUCKET)
-        flag = np.zeros(len(order), dtype=bool)
+        _, edge, place, flag = batch.by_bucket(self.buckets)
         for b, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
             if hi > lo and b in bits:
-                flag[order[lo:hi]] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=hi - lo).astype(bool)
-        batch.keep(np.flatnonzero(flag))
+                flag[lo:hi] |= np.unpackbits(np.frombuffer(bits[b], np.uint8), count=hi - lo).astype(bool)
+        batch.keep(np.flatnonzero(flag[place]))
         text, one = same_stretches(batch.buf, batch.first, batch.windows + self.least - 1)
         # runs go by document, so the first of a text has its least id
         one = np.full(len(one), len(text), dtype=np.int64)
@@ -311,19 +317,32 @@ class Plan:
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(x, kind) for (k, x), kind in zip(out.items(), kinds, strict=True)})
 
-    def expand(self, part: pa.Table) -> pa.Table:
-        """A shard: one bit for each window of each stretch, whether a smaller id has it."""
+    def _merged(self, part: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of entries: windows of each; all their bytes, windows and ids; the number of each
+        stretch's text; one stretch, the least id and the sub-shard of each text."""
         steady()
         windows = [np.frombuffer(x, np.uint8).astype(np.int64) for x in part.column("windows").to_pylist()]
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in part.column("ids").to_pylist()])
         buf = np.frombuffer(b"".join(part.column("bytes").to_pylist()), dtype=np.uint8)
         each = np.concatenate(windows)
         size = each + self.least - 1
-        first = np.cumsum(size) - size
-        text, one = same_stretches(buf, first, size)
+        text, one = same_stretches(buf, np.cumsum(size) - size, size)
         least = np.full(len(one), _LAST, dtype=np.int64)
         np.minimum.at(least, text, ids)
         subs = np.frombuffer(b"".join(part.column("subs").to_pylist()), dtype=np.uint8)[one]
+        return windows, buf, each, ids, text, one, least, subs
+
+    @staticmethod
+    def _masks(part: pa.Table, windows: list[np.ndarray], gone: np.ndarray) -> pa.Table:
+        ends = np.cumsum([int(w.sum()) for w in windows])
+        bits = [np.packbits(x).tobytes() for x in np.split(gone, ends[:-1])]
+        return pa.table({"batch": part.column("batch"), "part": part.column("part"), "shard": pa.array([True] * len(bits)), "data": pa.array(bits, pa.binary())})
+
+    def expand(self, part: pa.Table) -> pa.Table:
+        """A shard: one bit for each window of each stretch, whether a smaller id has it."""
+        windows, buf, each, ids, text, one, least, subs = self._merged(part)
+        size = each + self.least - 1
+        first = np.cumsum(size) - size
         at = np.cumsum(each[one]) - each[one]
         lowest = np.empty(int(each[one].sum()), dtype=np.int64)
         for k in range(PARTS):
@@ -332,9 +351,31 @@ class Plan:
                 lowest[ranges(at[mine], each[one[mine]])] = repeated_windows(buf, first[one[mine]], each[one[mine]], least[mine], self.least)
         gone = lowest[ranges(at[text], each)] < np.repeat(ids, each)
         release()
-        ends = np.cumsum([int(w.sum()) for w in windows])
-        bits = [np.packbits(x).tobytes() for x in np.split(gone, ends[:-1])]
-        return pa.table({"batch": part.column("batch"), "part": part.column("part"), "shard": pa.array([True] * len(bits)), "data": pa.array(bits, pa.binary())})
+        return self._masks(part, windows, gone)
+
+    def merge(self, part: pa.Table) -> pa.Table:
+        """The entries of some batches for a shard as one: each stretch once, with its least id."""
+        part = part.sort_by("batch")
+        _, buf, each, _, _, one, least, subs = self._merged(part)
+        size = each + self.least - 1
+        raw = buf[ranges((np.cumsum(size) - size)[one], size[one])].tobytes()
+        release()
+        columns = (part.column("fan")[0].as_py(), part.column("part")[0].as_py(), raw, each[one].astype(np.uint8).tobytes(), least.tobytes(), subs.tobytes())
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({name: pa.array([x], k) for name, x, k in zip(("batch", "part", "bytes", "windows", "ids", "subs"), columns, kinds, strict=True)})
+
+    def spread(self, part: pa.Table, answer: pa.Table) -> pa.Table:
+        """What `expand` told of merged entries, for the entries they were made of: a window
+        that stays for the least id goes for all others."""
+        if not part.num_rows:
+            return pa.table({"batch": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "shard": pa.array([], pa.bool_()), "data": pa.array([], pa.binary())})
+        part = part.sort_by("batch")
+        windows, _, each, ids, text, one, least, _ = self._merged(part)
+        at = np.cumsum(each[one]) - each[one]
+        told = np.unpackbits(np.frombuffer(answer.column("data")[0].as_py(), np.uint8), count=int(each[one].sum())).astype(bool)
+        gone = told[ranges(at[text], each)] | np.repeat(ids > least[text], each)
+        release()
+        return self._masks(part, windows, gone)
 
     def remove(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = {"doc_id": pa.int64(), "rid": pa.int64(), "key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "kept": pa.binary()}
@@ -390,7 +431,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, characters: bool = False
     answer = "batch long, part int, shard boolean, data binary"
     bits = by_batch.applyInArrow(lambda t: plan.anchors(t), "batch long, bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: plan.twice(t), answer)
     stretches = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(lambda a, b: plan.stretches(a, b), "batch long, part int, bytes binary, windows binary, ids binary, subs binary")
-    masks = stretches.groupBy("part").applyInArrow(lambda t: plan.expand(t), answer)
+    if plan.batches > FAN:
+        entry = "batch long, part int, bytes binary, windows binary, ids binary, subs binary"
+        fanned = stretches.withColumn("fan", F.floor(F.col("batch") / FAN)).groupBy("fan", "part")
+        told = fanned.applyInArrow(lambda t: plan.merge(t), entry).groupBy("part").applyInArrow(lambda t: plan.expand(t), answer)
+        masks = fanned.cogroup(told.withColumnRenamed("batch", "fan").groupBy("fan", "part")).applyInArrow(lambda a, b: plan.spread(a, b), answer)
+    else:
+        masks = stretches.groupBy("part").applyInArrow(lambda t: plan.expand(t), answer)
     out = "doc_id long, rid long, key long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary"
     return by_batch.cogroup(bits.unionByName(masks).groupBy("batch")).applyInArrow(lambda a, b: plan.remove(a, b), out)
 

@@ -186,9 +186,10 @@ def removed_by_hand(rows, least):
     return out
 
 
-@pytest.mark.parametrize("batch", [2_000_000, 3_000])
-def test_suffix_removal(spark, monkeypatch, batch):
+@pytest.mark.parametrize(("batch", "fan"), [(2_000_000, 2_048), (3_000, 2_048), (1_000, 3)])
+def test_suffix_removal(spark, monkeypatch, batch, fan):
     monkeypatch.setattr(suffix, "BATCH", batch)
+    monkeypatch.setattr(suffix, "FAN", fan)
     rnd = random.Random(2)
     run = "".join(rnd.choice("ab ") for _ in range(400))
     texts = [*corpus(4), "x" * 49, "x" * 50, "x" * 200, *(run[rnd.randint(0, 200) : rnd.randint(200, 400)] + "é" * rnd.randint(0, 60) for _ in range(60))]
@@ -198,6 +199,24 @@ def test_suffix_removal(spark, monkeypatch, batch):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_removal_of_one_run_in_all_batches(spark, monkeypatch):
+    """A run that every text repeats, and a bucket that gets each anchor once a batch."""
+    monkeypatch.setattr(suffix, "BATCH", 2_000)
+    monkeypatch.setattr(suffix, "FAN", 4)
+    rnd = random.Random(6)
+    run = "".join(rnd.choice("abcdefgh ") for _ in range(60))
+    texts = [(run + "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 5)))) * rnd.randint(1, 9) for _ in range(60)] + ["ab" * 400] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.remove_repeats(df).collect())
+    assert got == removed_by_hand([(d, t.encode()) for d, t in enumerate(texts)], 50)
+    import pyarrow as pa
+
+    plan = suffix.Plan(4_000, 50)
+    docs = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": pa.array([run * 50, run * 20]), "batch": pa.array([0, 0], pa.int64())})
+    sent = sum(len(x) for x in plan.anchors(docs).column("data").to_pylist()) // 5
+    assert sent <= 60
+
+
 def test_interval_expansion_finds_all_common_prefixes():
     rng = np.random.default_rng(3)
     for size, letters in ((300, 2), (2000, 3), (2000, 60)):
