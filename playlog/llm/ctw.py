@@ -12,7 +12,8 @@ byte), summed in slices before they're shuffled, and kept by bucket of the two n
 context bytes, so that everything below depth 2 is in one bucket.  The two depths above
 are summed from all buckets: at most 256 x 255 nodes, whatever the corpus.  To score,
 batches of documents ask the buckets for their distinct grams and words, and sum what
-they are told.
+they are told.  A bucket that is asked for much, since its pair of bytes is frequent, answers
+in several tasks, each with the bucket's model and some of the batches.
 
 Defined results: A-Z are lower-cased first.  Null text is the empty text, of which only
 the end mark is scored.  A row without an id is trained on.  Rows that repeat count as
@@ -32,9 +33,12 @@ from pyspark.sql import functions as F
 from playlog.llm._bytes import mix, release, steady, word_hashes
 from playlog.llm._spark import cut, table, texts_of
 
-DEPTH = 4
+DEPTH = 5
 #: Text bytes of a batch and of a bucket's share; bytes counted at a time when training.
 BATCH, BUCKET, SLICE = 4_000_000, 32_000_000, 8_000_000
+#: Buckets of grams at most, there being 65,536 pairs of bytes, and bytes of keys that one
+#: task answers.
+GRAM_BUCKETS, ASKED = 4_096, 64_000_000
 _END = 0xFF  # never in UTF-8
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HALF = math.log(0.5)
@@ -153,11 +157,24 @@ def _split(kind: str, keys: np.ndarray, buckets: int, depth: int) -> tuple[np.nd
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: sorted or small ones compress well so."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _joined(blobs: list[bytes]) -> np.ndarray:
+    return np.concatenate([_numbers(b) for b in blobs]) if blobs else np.zeros(0, np.uint64)
+
+
 def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(texts, lower=True)
 
 
-def counts(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
+def counts(docs: DataFrame, buckets: dict[str, int], depth: int) -> DataFrame:
     """Counts of grams and words of the training documents: kind, bucket, keys, n."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,21 +189,21 @@ def counts(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
                     rows = []
                     for kind, found in (("gram", grams(part, depth)[0]), ("word", _words_of(part)[0])):
                         keys, n = np.unique(found, return_counts=True)
-                        order, edge = _split(kind, keys, buckets, depth)
+                        order, edge = _split(kind, keys, buckets[kind], depth)
                         keys, n = keys[order], n[order]
-                        rows += [(kind, b, keys[lo:hi].tobytes(), n[lo:hi].astype("<i8").tobytes()) for b, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if hi > lo]
+                        rows += [(kind, b, _planes(keys[lo:hi]), _planes(n[lo:hi])) for b, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if hi > lo]
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], k) for k in (pa.string(), pa.int32(), pa.binary(), pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "keys", "n"])
                     part, held = [], 0
 
     def merge(part: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), dtype=np.uint64)
-        n = np.frombuffer(b"".join(part.column("n").to_pylist()), dtype="<i8")
+        keys = _joined(part.column("keys").to_pylist())
+        n = _joined(part.column("n").to_pylist()).view(np.int64)
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         total = np.add.reduceat(n, new)
-        return pa.table({"kind": part.column("kind").slice(0, 1), "bucket": part.column("bucket").slice(0, 1), "keys": pa.array([keys[new].tobytes()], pa.binary()), "n": pa.array([total.tobytes()], pa.binary()), "distinct": pa.array([len(new)], pa.int64()), "total": pa.array([int(total.sum())], pa.int64())})
+        return pa.table({"kind": part.column("kind").slice(0, 1), "bucket": part.column("bucket").slice(0, 1), "keys": pa.array([_planes(keys[new])], pa.binary()), "n": pa.array([_planes(total)], pa.binary()), "distinct": pa.array([len(new)], pa.int64()), "total": pa.array([int(total.sum())], pa.int64())})
 
     gathered = docs.where(~F.col("held_out")).select("text").mapInArrow(count, "kind string, bucket int, keys binary, n binary")
     return gathered.groupBy("kind", "bucket").applyInArrow(merge, "kind string, bucket int, keys binary, n binary, distinct long, total long")
@@ -198,7 +215,7 @@ def top_levels(model: DataFrame, depth: int) -> dict[int, Level]:
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                gram, total = np.frombuffer(keys, np.uint64), np.frombuffer(n, "<i8")
+                gram, total = _numbers(keys), _numbers(n).view(np.int64)
                 under = build(gram, total, depth, 2)[2]
                 up = (under.keys >> np.uint64(16) << np.uint64(8)) | (under.keys & _MASK)
                 keys, where = np.unique(up, return_inverse=True)
@@ -214,9 +231,23 @@ def top_levels(model: DataFrame, depth: int) -> dict[int, Level]:
     return {1: one, 0: root}
 
 
+def answering(model: DataFrame, buckets: int, batches: int) -> np.ndarray:
+    """In how many tasks each bucket of grams answers, from what batches will ask of it: at most
+    twice its distinct grams, or its share of their text."""
+    told = model.where("kind = 'gram'").select("bucket", "distinct", "total").collect()  # GRAM_BUCKETS rows at most
+    everything = max(1, sum(r["total"] for r in told))
+    out = np.ones(buckets, dtype=np.int64)
+    for r in told:
+        asked = batches * min(2 * r["distinct"], BATCH * r["total"] // everything + 1) * 8
+        out[r["bucket"]] = max(1, -(-asked // ASKED))
+    return out
+
+
 class Scorer:
-    def __init__(self, buckets: int, depth: int):
-        self.buckets, self.depth = buckets, depth
+    """`tasks`: for each bucket of grams in how many tasks it answers."""
+
+    def __init__(self, buckets: dict[str, int], depth: int, tasks: np.ndarray):
+        self.buckets, self.depth, self.tasks = buckets, depth, tasks
 
     def _batch(self, docs: pa.Table) -> tuple[list[int], list[bytes]]:
         ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist()
@@ -227,16 +258,17 @@ class Scorer:
         """The distinct grams and words of a batch, by bucket."""
         _, texts = self._batch(docs)
         batch = docs.column("batch")[0].as_py()
-        out: dict[str, list] = {"batch": [], "kind": [], "bucket": [], "keys": []}
+        out: dict[str, list] = {"batch": [], "kind": [], "bucket": [], "task": [], "keys": []}
         for kind, found in (("gram", grams(texts, self.depth)[0]), ("word", _words_of(texts)[0])):
             keys = _distinct(found)
-            order, edge = _split(kind, keys, self.buckets, self.depth)
+            order, edge = _split(kind, keys, self.buckets[kind], self.depth)
             keys = keys[order]
             for b, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                 if hi > lo:
-                    for name, x in zip(out, (batch, kind, b, keys[lo:hi].tobytes()), strict=True):
+                    task = batch % int(self.tasks[b]) if kind == "gram" else 0
+                    for name, x in zip(out, (batch, kind, b, task, _planes(keys[lo:hi])), strict=True):
                         out[name].append(x)
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
         return pa.table({name: pa.array(x, k) for (name, x), k in zip(out.items(), kinds, strict=True)})
 
     def answer(self, asked: pa.Table, model: pa.Table, top: dict[int, Level]) -> pa.Table:
@@ -244,10 +276,10 @@ class Scorer:
         blobs = asked.column("keys").to_pylist()
         data: list[bytes] = []
         if blobs:
-            keys = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+            keys = _joined(blobs)
             distinct = _distinct(keys)
             if model.num_rows:
-                known, n = np.frombuffer(model.column("keys")[0].as_py(), np.uint64), np.frombuffer(model.column("n")[0].as_py(), "<i8")
+                known, n = _numbers(model.column("keys")[0].as_py()), _numbers(model.column("n")[0].as_py()).view(np.int64)
             else:
                 known, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             if asked.column("kind")[0].as_py() == "gram":
@@ -290,9 +322,10 @@ class Scorer:
         new = np.ones(len(found), dtype=bool)
         new[1:] = ordered[1:] != ordered[:-1]
         first = np.flatnonzero(new)
-        order, edge = _split(kind, ordered[first], self.buckets, self.depth)
+        buckets = self.buckets[kind]
+        order, edge = _split(kind, ordered[first], buckets, self.depth)
         value = np.empty(len(first))
-        value[order] = np.frombuffer(b"".join([told[b] for b in range(self.buckets) if edge[b + 1] > edge[b]]), dtype="<f8")
+        value[order] = np.frombuffer(b"".join([told[b] for b in range(buckets) if edge[b + 1] > edge[b]]), dtype="<f8")
         out = np.empty(len(found))
         out[by] = np.repeat(value, np.diff(np.append(first, len(found))))
         return out
@@ -309,15 +342,21 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     texts = texts_of(docs).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 7 == 2)
     size = texts.agg(F.sum(F.octet_length("text")).alias("size"), F.count_if(~F.col("held_out")).alias("ends")).collect()[0]
     ends, size = size["ends"], size["size"] or 0
-    buckets, batches = max(12, -(-size // BUCKET)), max(1, -(-size // BATCH))
+    words_in, batches = max(12, -(-size // BUCKET)), max(1, -(-size // BATCH))
+    buckets = {"gram": min(words_in, GRAM_BUCKETS), "word": words_in}
     model = cut(counts(texts, buckets, depth))
     told = model.where("kind = 'word'").agg(F.sum("total"), F.sum("distinct")).collect()[0]
     tokens, words = (told[0] or 0) + ends, (told[1] or 0) + (ends > 0)
     top = docs.sparkSession.sparkContext.broadcast(top_levels(model, depth))
-    scorer = Scorer(buckets, depth)
+    tasks = answering(model, buckets["gram"], batches)
+    scorer = Scorer(buckets, depth, tasks)
     by_batch = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(batches))).groupBy("batch")
-    asked = by_batch.applyInArrow(lambda t: scorer.ask(t), "batch long, kind string, bucket int, keys binary")
-    answers = asked.groupBy("kind", "bucket").cogroup(model.select("kind", "bucket", "keys", "n").groupBy("kind", "bucket")).applyInArrow(lambda a, b: scorer.answer(a, b, top.value), "batch long, kind string, bucket int, data binary")
+    asked = by_batch.applyInArrow(lambda t: scorer.ask(t), "batch long, kind string, bucket int, task long, keys binary")
+    many = docs.sparkSession.createDataFrame([("gram", b, int(n)) for b, n in enumerate(tasks.tolist()) if n > 1], "kind string, bucket int, tasks long")
+    dealt = model.select("kind", "bucket", "keys", "n").join(F.broadcast(many), ["kind", "bucket"], "left")
+    dealt = dealt.withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tasks", F.lit(1).cast("long")) - 1))).drop("tasks")
+    by = ("kind", "bucket", "task")
+    answers = asked.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(lambda a, b: scorer.answer(a, b, top.value), "batch long, kind string, bucket int, data binary")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     scored = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(lambda a, b: scorer.score(a, b, tokens, words, ends), out)
     bits = (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte")

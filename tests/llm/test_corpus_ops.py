@@ -231,7 +231,11 @@ def test_interval_expansion_finds_all_common_prefixes():
                 assert bound[i] == (a != b)
 
 
-def test_context_tree_weighting(spark):
+@pytest.mark.parametrize(("batch", "asked"), [(4_000_000, 64_000_000), (300, 500)])
+def test_context_tree_weighting(spark, monkeypatch, batch, asked):
+    """Also with many batches and buckets that answer in many tasks."""
+    monkeypatch.setattr(ctw, "BATCH", batch)
+    monkeypatch.setattr(ctw, "ASKED", asked)
     texts = [t if t is None else t[:120] for t in corpus(5)[:14]] + ["Aé b\x00"]
     rows = [(k, t) for k, t in enumerate(texts)]
     df = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string")
@@ -289,6 +293,16 @@ def test_context_tree_weighting(spark):
     assert ctw.score_documents(df.limit(0)).count() == 0
 
 
+def test_context_tree_weighting_rows_without_id_and_odd_columns(spark):
+    rows = [(None, "a b a b", 1, "x", 2, "k"), (None, "a b a b", 1, "x", 2, "k"), (3, None, 1, "x", 2, "k"), (4, "", 1, "x", 2, "k"), (5, "A  b", 1, "x", 2, "k"), (5, "c", 1, "x", 2, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, batch int, kind string, task int, held_out string")
+    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"]) for r in ctw.score_documents(df).collect()]
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in (3, 4, 5)}
+    known = {"a", "b", *(["c"] if not held[5] else [])}
+    want = [(None, False, 5, 5), (None, False, 5, 5), (3, held[3], 1, 1), (4, held[4], 1, 1), (5, held[5], 3, 3), (5, held[5], 2, 1 + ("c" in known))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(900, 16)).astype(np.float32)
