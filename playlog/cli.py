@@ -51,7 +51,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     for user, name in source.user_names.items():
         print(f"user {name} [{user}]{' *' if source.selected and user in source.selected else ''}")
     library = source.library()
-    a = Analyses(library, config)
+    a = Analyses(library, config, keep=True)
     A.export(a, ("album_metadata_issues",), args.output)
     A.write_csv(A.ordered("album_library_coverage", a.album_library_coverage(source.selected)), args.output / "album_library_coverage.csv")
     if source.source:
@@ -59,10 +59,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         unknown = library.plays.join(a.enriched.select(F.col("id").alias("track_id")), "track_id", "left_anti").count()
         if unknown:
             print(f"{unknown} plays of unknown tracks are left out", file=sys.stderr)
+        undatable = source.undatable()
+        if undatable:
+            print(f"{undatable} plays without a readable date are left out", file=sys.stderr)
         # what is compared with dated plays are the strict counters
-        strict = Analyses(library, config)
-        strict.library = type(library)(library.tracks, library.plays, source.annotations(strict=True), library.users)
-        if not a.log.isEmpty():
+        strict = a.with_annotations(source.annotations(strict=True))
+        if not a.heard.isEmpty():
             A.export(strict, A.BASE, args.output)
         A.export(a, A.THREADS, args.output)
         text = A.history_text(strict, f"{source.source.table}.{source.source.time}") + A.threads_text(a) + A.library_text(a, True)

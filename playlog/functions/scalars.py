@@ -42,35 +42,15 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def exact_mean(v: Column) -> Column:
-    """Aggregate: the mean of doubles, correctly rounded whatever their order."""
-    zero = F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("l"))
-
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["h"] + x
-        back = s - acc["h"]
-        return F.struct(s.alias("h"), (acc["l"] + (acc["h"] - (s - back)) + (x - back)).alias("l"))
-
-    def finish(values: Column) -> Column:
-        n = F.size(values).cast("double")
-        acc = F.aggregate(values, zero, add)
-
-        def mean(a: Column) -> Column:
-            high = a["h"] + a["l"]
-            low = a["l"] - (high - a["h"])
-            q = high / n
-            split = q * F.lit(134217729.0)
-            hi = split - (split - q)
-            lo = q - hi
-            split_n = n * F.lit(134217729.0)
-            hi_n = split_n - (split_n - n)
-            lo_n = n - hi_n
-            p = q * n
-            e = ((hi * hi_n - p) + hi * lo_n + lo * hi_n) + lo * lo_n
-            return q + (((high - p) - e) + low) / n
-
-        return F.get(F.transform(F.array(acc), mean), F.lit(0))
-
-    return finish(F.collect_list(v))
+    """Aggregate: the mean of doubles that are 0 or from 0.1 to 127, rounded once from the exact
+    sum of their binary values.  Those are multiples of 2^-56, so they're summed as whole numbers."""
+    whole = (v * F.lit(2.0**56)).cast("long").cast("decimal(20,0)")
+    n = F.count(v).cast("decimal(18,0)")
+    total = (F.sum(whole) * F.lit(1 << 20).cast("decimal(8,0)")).cast("decimal(38,0)")
+    rest = (total % n).cast("decimal(38,0)")
+    # the quotient has more bits than a double; a last one stands for all that follow
+    quotient = ((total - rest).cast("decimal(38,0)") / n).cast("decimal(37,0)")
+    return (quotient * 2 + F.when(rest > 0, 1).otherwise(0)).cast("double") / F.lit(2.0**77)
 
 
 def micros(at: Column) -> Column:

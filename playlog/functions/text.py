@@ -10,7 +10,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 _MARKS = re.compile(r"[^a-z0-9]+")
 _STEPS = (
@@ -40,12 +40,19 @@ def title_key_of(text: str) -> str:
 
 def longest_rising(values: list[int]) -> int:
     """Length of the longest strictly increasing subsequence of the positive values."""
+    return rising_lengths(values)[-1]
+
+
+def rising_lengths(values: list[int]) -> list[int]:
+    """That length for each beginning of the values, the empty one first."""
     tails: list[int] = []
+    out = [0]
     for v in values:
         if v > 0:
             at = bisect.bisect_left(tails, v)
             tails[at : at + 1] = [v]
-    return len(tails)
+        out.append(len(tails))
+    return out
 
 
 @F.pandas_udf(StringType())
@@ -69,6 +76,15 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(IntegerType())
-def rising(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: longest_rising([int(v) for v in x]))
+RISING = ["_u", "_u24", "_u48", "_l", "_l24", "_l48"]
+
+
+@F.pandas_udf(StructType([StructField(name, IntegerType()) for name in RISING]))
+def rising(values: pd.Series, first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    """Distinct values and the longest rising subsequence, of all and of two beginnings."""
+    rows = []
+    for v, a, b in zip(values, first, second, strict=True):
+        v = [int(x) for x in v]
+        lengths = rising_lengths(v)
+        rows.append((len(set(v)), len(set(v[:a])), len(set(v[:b])), lengths[-1], lengths[a], lengths[b]))
+    return pd.DataFrame(rows, columns=RISING)

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from playlog.functions import scalars as S
 from playlog.functions import text as T
-from playlog.operators.model import catalogue, labelled, minutes
-from playlog.operators.order import commonest, in_order, islands
+from playlog.functions.session import cut
+from playlog.operators.model import catalogue, labelled, minutes, with_previous, with_tracks
+from playlog.operators.order import boundaries, commonest, in_order, islands
 
 
 def library_coverage(log: DataFrame, enriched: DataFrame, annotations: DataFrame, users: DataFrame, selected: list[str] | None = None) -> DataFrame:
@@ -50,15 +51,17 @@ def _meaningful(unique: Column, total: Column) -> Column:
     return (unique >= F.least(F.lit(3), total)) | (unique / total >= 0.50)
 
 
-def album_runs(log: DataFrame, gap_minutes: int, complete: float) -> DataFrame:
+def album_runs(plays: DataFrame, enriched: DataFrame, gap_minutes: int, complete: float) -> DataFrame:
     """Stretches of plays of one album, nothing else in between, in the order of all
     users' plays; going back to the start after most of the album begins a new one."""
+    log = with_previous(with_tracks(plays, enriched, "album_key", "position", "total"), enriched, "album_key", "position")
     gap = S.micros(F.col("at")) - S.micros(F.col("before.at"))
     prev, now = F.col("before.position"), F.col("position")
     restart = (now <= 2) & (prev >= F.greatest(F.lit(3), F.ceil(F.col("total") * 0.60)))
     goes_on = (F.col("user_id") == F.col("before.user_id")) & (F.col("album_key") == F.col("before.album_key")) & (gap <= minutes(gap_minutes)) & ~restart
-    numbered = islands(log, ~F.coalesce(goes_on, F.lit(False)), "run_id")
-    facts = numbered.groupBy("run_id").agg(
+    numbered = islands(log, ~F.coalesce(goes_on, F.lit(False)), "run_id").select("run_id", "track_id", "gidx", "at", "user_name", "position")
+    facts = with_tracks(numbered.drop("position"), enriched, "title", "album_key", "cat_album_id", "cat_artist", "cat_album", "cat_year", "total")
+    facts = facts.groupBy("run_id").agg(
         F.min_by(F.struct("user_name", "album_key", "cat_album_id", "cat_artist", "cat_album", "cat_year", "total"), "gidx").alias("f"),
         F.min("at").alias("_start"),
         F.max("at").alias("_end"),
@@ -153,11 +156,11 @@ def album_transitions(runs: DataFrame, window_minutes: int) -> DataFrame:
     return out.select("user", "times", "from_artist", "from_album", "to_artist", "to_album", "from_album_key", "to_album_key")
 
 
-def threaded(log: DataFrame, gap_minutes: int, hours: float, slack: int) -> DataFrame:
+def threaded(plays: DataFrame, enriched: DataFrame, gap_minutes: int, hours: float, slack: int) -> DataFrame:
     """Plays with `thread_id` and, in `prev`, the play before in the same thread."""
     key = ["user_id", "album_key"]
     own = Window.partitionBy(*key).orderBy("gidx")
-    df = log.withColumn("prev", F.lag(F.struct("at", "position", "gidx", "title")).over(own))
+    df = with_tracks(plays.drop("before", "seq", "_part"), enriched, "title", "album_key", "position", "total").withColumn("prev", F.lag(F.struct("at", "position", "gidx", "title")).over(own))
     gap = S.micros(F.col("at")) - S.micros(F.col("prev.at"))
     now, prev, total = F.col("position"), F.col("prev.position"), F.col("total")
     restart = (now <= 2) & (prev >= F.greatest(F.lit(3), F.ceil(total * 0.55)))
@@ -167,47 +170,41 @@ def threaded(log: DataFrame, gap_minutes: int, hours: float, slack: int) -> Data
     goes_on = (gap <= F.lit(int(max(1.0, hours) * S.HOUR))) & ~restart & ~back & (forward | local | (now == prev))
     df = df.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     df = df.withColumn("_chunk", F.sum("_new").over(own)).withColumn("prev", F.when(F.col("_new") == 0, F.col("prev")))
+    df = cut(df)
     # numbered by their first play; of equal times by the group first met, then in its order
     heads = df.where("_new = 1").withColumn("_group", F.min("gidx").over(Window.partitionBy(*key)))
-    placed = in_order(heads.select(*key, "_chunk", "at", F.struct("_group", "_chunk").alias("seq")), ("at",))
+    heads = heads.select(*key, "_chunk", "at", F.struct("_group", "_chunk").alias("seq"))
+    placed = in_order(heads, (), boundaries(plays))
     numbered = placed.select(*key, "_chunk", (F.col("gidx") + 1).alias("thread_id"))
     return df.join(numbered, [*key, "_chunk"])
 
 
-def album_threads(log: DataFrame, quality: DataFrame, gap_minutes: int, hours: float, slack: int, complete: float) -> tuple[DataFrame, DataFrame]:
+def album_threads(plays: DataFrame, enriched: DataFrame, quality: DataFrame, gap_minutes: int, hours: float, slack: int, complete: float) -> tuple[DataFrame, DataFrame]:
     """Threads of an album that a user takes up again and again, whatever is played in
     between, and the pauses in them."""
-    plays = threaded(log, gap_minutes, hours, slack).join(quality.select("track_id", "confidence"), "track_id")
+    plays = with_tracks(threaded(plays, enriched, gap_minutes, hours, slack), enriched, "cat_album_id", "cat_artist", "cat_album", "cat_year").join(quality.select("track_id", "confidence"), "track_id")
     rank = F.when(F.col("confidence") == "baja", 0).when(F.col("confidence") == "media", 1).otherwise(2)
     name = F.when(F.col("_worst") == 0, "baja").when(F.col("_worst") == 1, "media").otherwise("alta")
     own = Window.partitionBy("thread_id")
     plays = plays.select("*", (S.micros(F.col("at")) - F.min(S.micros(F.col("at"))).over(own)).alias("_since"), (S.micros(F.col("at")) - S.micros(F.col("prev.at"))).alias("_pause"))
     limit = minutes(max(1, gap_minutes))
 
-    def within(hours_: int) -> Column:
-        return F.when(F.col("_since") <= hours_ * S.HOUR, F.col("position"))
-
-    def rising(upto: Column | None = None) -> Column:
-        return F.array_sort(F.collect_list(F.struct(F.col("gidx"), F.col("position").alias("p")) if upto is None else F.when(upto.isNotNull(), F.struct(F.col("gidx"), F.col("position").alias("p")))))["p"]
-
     facts = plays.groupBy("thread_id").agg(
         F.min_by(F.struct("user_name", "album_key", "cat_album_id", "cat_artist", "cat_album", "cat_year", "total"), "gidx").alias("f"),
         F.min("at").alias("_start"),
         F.max("at").alias("_end"),
         F.count("*").alias("scrobbles"),
-        F.count_distinct("position").alias("unique_tracks"),
-        F.count_distinct(within(24)).alias("_u24"),
-        F.count_distinct(within(48)).alias("_u48"),
-        rising().alias("_all"),
-        rising(within(24)).alias("_a24"),
-        rising(within(48)).alias("_a48"),
+        F.array_sort(F.collect_list(F.struct("gidx", "position")))["position"].alias("_all"),
+        F.count_if(F.col("_since") <= 24 * S.HOUR).alias("_n24"),
+        F.count_if(F.col("_since") <= 48 * S.HOUR).alias("_n48"),
         F.min_by("position", "gidx").alias("first_position"),
         F.max_by("position", "gidx").alias("last_position"),
         F.count_if(F.col("_pause") > limit).alias("resume_count"),
         F.coalesce(F.max("_pause"), F.lit(0)).alias("_longest"),
         F.min(rank).alias("_worst"),
     )
-    rows = facts.select("*", "f.*").drop("f").select("*", T.rising("_all").alias("_l"), T.rising("_a24").alias("_l24"), T.rising("_a48").alias("_l48"))
+    # plays go by time, so those of the first hours come first
+    rows = facts.select("*", "f.*", T.rising("_all", "_n24", "_n48").alias("r")).drop("f").select("*", "r.*").drop("r").withColumnRenamed("_u", "unique_tracks")
     total, unique = F.col("total"), F.col("unique_tracks")
     starts, reaches = _flags(F.col("first_position"), F.col("last_position"), total)
     whole, ordered = unique / total >= complete, F.col("_l") / total >= max(0.50, complete - 0.20)

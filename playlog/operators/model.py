@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from playlog.functions import scalars as S
 from playlog.functions import text as T
-from playlog.operators.order import in_order
+from playlog.operators.order import boundaries, in_order
 
 UNKNOWN_USER = "(usuario desconocido)"
 
@@ -56,13 +56,34 @@ def catalogue(enriched: DataFrame) -> DataFrame:
     )
 
 
-def play_log(plays: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Plays of known tracks in one order over all users, with their tracks' columns and
-    `before`, the play that came just before, whoever's it was."""
-    columns = ["id", "title", "artist", "artist_key", "album", "album_key", "owner", "owner_key", "genre", "year", "duration", "position", "total", "cat_album_id", "cat_artist", "cat_album", "cat_year"]
-    joined = plays.select("seq", "at", "user_id", "user_name", "track_id").join(enriched.select(*columns), F.col("track_id") == F.col("id")).drop("id")
-    carried = ("at", "user_id", "track_id", "title", "artist", "artist_key", "album_key", "genre", "year", "position")
-    return in_order(joined, carried)
+_TRACK = ("title", "artist", "artist_key", "album", "album_key", "owner", "owner_key", "genre", "year", "duration", "position", "total", "cat_album_id", "cat_artist", "cat_album", "cat_year")
+
+
+def heard(plays: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Plays of known tracks with their tracks' columns; `gidx` orders them all, for
+    analyses that need an order but neither places nor neighbours."""
+    joined = plays.select("seq", "at", "user_id", "user_name", "track_id").join(enriched.select("id", *_TRACK), F.col("track_id") == F.col("id")).drop("id")
+    return joined.withColumn("gidx", F.struct("at", "seq"))
+
+
+def ordered(plays: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Plays of known tracks in one order over all users, with `gidx` and `before`, the time,
+    user and track of the play that came just before, whoever's it was."""
+    known = plays.select("seq", "at", "user_id", "user_name", "track_id").join(tracks.select(F.col("id").alias("track_id")), "track_id", "left_semi")
+    return in_order(known, ("at", "user_id", "track_id"), boundaries(plays))
+
+
+def with_tracks(plays: DataFrame, enriched: DataFrame, *columns: str) -> DataFrame:
+    """Ordered plays with these columns of their tracks, or with all."""
+    return plays.join(enriched.select(F.col("id").alias("track_id"), *(columns or _TRACK)), "track_id")
+
+
+def with_previous(log: DataFrame, enriched: DataFrame, *columns: str) -> DataFrame:
+    """`log` with these columns of the track before in `before`."""
+    facts = enriched.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_p_{c}") for c in columns])
+    before = F.struct("before.*", *[F.col(f"_p_{c}").alias(c) for c in columns])
+    joined = log.join(facts, F.col("before.track_id") == F.col("_id"), "left")
+    return joined.select(*[c for c in log.columns if c != "before"], before.alias("before"))
 
 
 def labelled(users: DataFrame, of: DataFrame) -> DataFrame:

@@ -1,46 +1,72 @@
 """One order over all plays, without a single-partition window.
 
-Plays are range-partitioned and sorted by (time, scan order).  A play's index is its place
-in its partition plus the sizes of the partitions before; the play before it is found in
-its partition, or is the last of the partition before.  Only one row for each partition
-goes through a window without a key.
+Plays are dealt by time in parts of about equal size, between quantiles of their times, and
+sorted by (time, scan order) in each part: one shuffle.  A play's index is its place in its
+part plus the sizes of the parts before; the play before it is found in its part, or is the
+last of the part before.  One row for each part goes to the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window, WindowSpec
 
 from playlog.functions.session import cut
 
-_BITS = 33
+#: Parts for each shuffle partition, and parts at most.
+PARTS, MOST = 3, 2_000
 
 
-def in_order(plays: DataFrame, carried: tuple[str, ...]) -> DataFrame:
-    """`plays` (with `at` and `seq`) with `gidx` from 0, `before` (a struct of the carried
-    columns of the play before, null at the first), and `_part` and `_place`."""
-    parts = max(1, int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = plays.repartitionByRange(parts, "at", "seq").sortWithinPartitions("at", "seq")
-    placed = cut(ranged.withColumn("_id", F.monotonically_increasing_id()))
-    placed = placed.select("*", F.shiftright("_id", _BITS).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("_place")).drop("_id")
-    row = F.struct(*carried)
-    ends = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.max_by(row, "_place").alias("_end"))
-    over = Window.orderBy("_part")
-    ends = ends.select("_part", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), F.lag("_end").over(over).alias("_last"))
-    inside = Window.partitionBy("_part").orderBy("_place")
-    joined = placed.join(F.broadcast(ends), "_part").withColumn("_lag", F.lag(row).over(inside))
-    return joined.select(*placed.columns, (F.col("_offset") + F.col("_place")).alias("gidx"), F.coalesce("_lag", "_last").alias("before"))
+def _own() -> WindowSpec:
+    return Window.partitionBy("_part").orderBy("at", "seq")
+
+
+
+def boundaries(times: DataFrame) -> list[int]:
+    """Quantiles (microseconds) of `at`, of which there are as many as parts but one."""
+    parts = min(MOST, PARTS * int(times.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = times.agg(F.percentile_approx(F.unix_micros("at"), [k / parts for k in range(1, parts)], 20 * parts).alias("q")).first()
+    return sorted(set(found["q"] or []))
+
+
+def _part(cuts: list[int], first: int = 0) -> Column:
+    """How many boundaries a play's time is over, found by halving."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(F.unix_micros("at") > cuts[half], _part(cuts[half + 1 :], first + half + 1)).otherwise(_part(cuts[:half], first))
+
+
+def in_order(plays: DataFrame, carried: tuple[str, ...], cuts: list[int]) -> DataFrame:
+    """`plays` (with `at` and `seq`) with `gidx` from 0 and `before`, a struct of the carried
+    columns of the play before, whose fields are null at the first.  Materialised, so `plays`
+    should be narrow."""
+    lags = [F.lag(c).over(_own()).alias(f"_lag_{c}") for c in carried]
+    placed = cut(plays.withColumn("_part", _part(cuts)).select("*", F.row_number().over(_own()).alias("_place"), F.lead(F.lit(1)).over(_own()).alias("_more"), *lags))
+    ends = placed.where("_more is null").select("_part", F.col("_place").cast("long").alias("_n"), *carried)
+    told, offset, last = [], 0, (None,) * len(carried)
+    for part, n, *end in sorted(map(tuple, ends.collect())):  # one row for each part, MOST at most
+        told.append((part, offset, *last))
+        offset, last = offset + n, tuple(end)
+    kinds = [placed.schema[c] for c in carried]
+    schema = StructType([placed.schema["_part"], StructField("_offset", LongType()), *[StructField(f"_last_{f.name}", f.dataType) for f in kinds]])
+    joined = placed.join(F.broadcast(plays.sparkSession.createDataFrame(told, schema)), "_part")
+    before = [F.coalesce(f"_lag_{c}", F.when(F.col("_place") == 1, F.col(f"_last_{c}"))).alias(c) for c in carried]
+    return joined.select(*plays.columns, "_part", (F.col("_offset") + F.col("_place") - 1).alias("gidx"), *([F.struct(*before).alias("before")] if before else []))
 
 
 def islands(ordered: DataFrame, starts: Column, name: str) -> DataFrame:
     """`ordered` with the number (from 1) of the stretch that each play is in; `starts`
-    tells the plays that begin one."""
+    tells the plays that begin one.  Materialised, so `ordered` should be narrow."""
     flagged = ordered.withColumn("_flag", F.when(starts, 1).otherwise(0))
-    inside = Window.partitionBy("_part").orderBy("_place")
-    sums = flagged.groupBy("_part").agg(F.sum("_flag").alias("_sum"))
-    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    counted = flagged.withColumn("_count", F.sum("_flag").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = cut(flagged.withColumn("_count", F.sum("_flag").over(_own().rowsBetween(Window.unboundedPreceding, 0))).drop("_flag"))
+    told, offset = [], 0
+    for part, n in sorted(map(tuple, counted.groupBy("_part").agg(F.max("_count")).collect())):  # MOST rows at most
+        told.append((part, offset))
+        offset += n
+    offsets = ordered.sparkSession.createDataFrame(told, StructType([counted.schema["_part"], StructField("_offset", LongType())]))
     return counted.join(F.broadcast(offsets), "_part").select(*ordered.columns, (F.col("_offset") + F.col("_count")).alias(name))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from playlog.functions import scalars as S
-from playlog.operators.model import labelled, minutes
+from playlog.operators.model import labelled, minutes, with_previous, with_tracks
 from playlog.operators.order import commonest, islands
 
 
@@ -19,18 +19,22 @@ def _same_user() -> Column:
     return F.col("user_id") == F.col("before.user_id")
 
 
-def sessions(log: DataFrame, gap_minutes: int, scope: str = "all") -> DataFrame:
+def sessions(plays: DataFrame, enriched: DataFrame, gap_minutes: int, scope: str = "all") -> DataFrame:
     """Listening sessions: a play starts one if it is the first, if the play before it in
     the order of all users is someone else's, or if it comes more than the gap later.
-    With scope 'user' other users' plays don't break a session, and ids go by user."""
+    With scope 'user' other users' plays don't break a session, and ids go by user.
+    `plays` are ordered ones, with scope 'user' any of known tracks with `gidx`."""
     if scope == "user":
         per = Window.partitionBy("user_id").orderBy("gidx")
         late = (S.micros(F.col("at")) - F.lag(S.micros(F.col("at"))).over(per)) > minutes(gap_minutes)
-        flagged = log.withColumn("_late", F.coalesce(late, F.lit(True)).cast("int"))
+        flagged = plays.withColumn("_late", F.coalesce(late, F.lit(True)).cast("int"))
         numbered = flagged.withColumn("_number", F.sum("_late").over(per)).withColumn("session_id", F.struct("user_id", "_number"))
     else:
-        numbered = islands(log, F.col("before").isNull() | ~_same_user() | (_gap() > minutes(gap_minutes)), "session_id")
-    facts = numbered.groupBy("session_id").agg(
+        numbered = islands(plays, F.col("before.at").isNull() | ~_same_user() | (_gap() > minutes(gap_minutes)), "session_id")
+    # all that follows goes by session, so its rows are dealt once
+    facts = ("artist", "album", "genre", "duration")
+    dealt = with_tracks(numbered.select("session_id", "gidx", "at", "user_name", "track_id"), enriched, *facts).repartition("session_id")
+    facts = dealt.groupBy("session_id").agg(
         F.min_by("user_name", "gidx").alias("user"),
         F.min("at").alias("_start"),
         F.max("at").alias("_end"),
@@ -38,10 +42,16 @@ def sessions(log: DataFrame, gap_minutes: int, scope: str = "all") -> DataFrame:
         F.count_distinct("track_id").alias("unique_tracks"),
         F.sum(F.greatest(F.col("duration"), F.lit(0.0)).cast("decimal(20,6)")).cast("double").alias("_seconds"),
     )
-    genres = numbered.select("session_id", "gidx", F.explode(S.split_genres(F.col("genre"))).alias("genre"))
-    tops = [commonest(numbered, ["session_id"], "artist", "top_artist"), commonest(numbered, ["session_id"], "album", "top_album"), commonest(genres, ["session_id"], "genre", "top_genre")]
-    for top in tops:
-        facts = facts.join(top, "session_id", "left")
+
+    def told(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    said = F.concat(F.array(told("artist", F.col("artist")), told("album", F.col("album"))), F.transform(S.split_genres(F.col("genre")), lambda g: told("genre", g)))
+    counted = dealt.select("session_id", "gidx", F.explode(said).alias("v")).groupBy("session_id", "v").agg(F.count("*").alias("n"), F.min("gidx").alias("first"))
+    # the commonest, of equals the first met, then the least
+    best = F.struct(-F.col("n"), F.col("first"), F.col("v.value").alias("value"))
+    tops = counted.groupBy("session_id").agg(*[F.min(F.when(F.col("v.kind") == kind, best)).alias(f"_{kind}") for kind in ("artist", "album", "genre")])
+    facts = facts.join(tops.select("session_id", *[F.col(f"_{kind}.value").alias(f"top_{kind}") for kind in ("artist", "album", "genre")]), "session_id", "left")
     first = F.col("session_id") if scope != "user" else F.concat_ws(":", "session_id.user_id", "session_id._number")
     return facts.select(
         first.alias("session_id"),
@@ -80,10 +90,10 @@ def _adjacent(log: DataFrame, window_minutes: int) -> DataFrame:
     return log.where(_same_user() & (_gap() <= minutes(window_minutes)) & (F.col("track_id") != F.col("before.track_id")))
 
 
-def track_pairs(log: DataFrame, window_minutes: int) -> DataFrame:
+def track_pairs(log: DataFrame, enriched: DataFrame, window_minutes: int) -> DataFrame:
     """Pairs of tracks that followed each other twice or more."""
     counted = (
-        _adjacent(log, window_minutes)
+        with_previous(_adjacent(log, window_minutes), enriched, "artist", "title")
         .groupBy("user_id", F.col("before.track_id").alias("from_track_id"), F.col("track_id").alias("to_track_id"))
         .agg(
             F.count("*").alias("times"),
@@ -98,9 +108,9 @@ def track_pairs(log: DataFrame, window_minutes: int) -> DataFrame:
     return counted.where("times >= 2").select("user", "times", "from_artist", "from_title", "to_artist", "to_title", "from_track_id", "to_track_id", "_first")
 
 
-def context_jumps(log: DataFrame, window_minutes: int) -> DataFrame:
+def context_jumps(log: DataFrame, enriched: DataFrame, window_minutes: int) -> DataFrame:
     """How far each play is from the one before, 0 to 100, by artist, genres and year."""
-    rows = _adjacent(log, window_minutes).withColumn("_ga", S.split_genres(F.col("before.genre"))).withColumn("_gb", S.split_genres(F.col("genre")))
+    rows = with_previous(_adjacent(log, window_minutes), enriched, "artist", "artist_key", "title", "genre", "year").withColumn("_ga", S.split_genres(F.col("before.genre"))).withColumn("_gb", S.split_genres(F.col("genre")))
     both, any_ = (F.size("_ga") > 0) & (F.size("_gb") > 0), (F.size("_ga") > 0) | (F.size("_gb") > 0)
     ya, yb = F.col("before.year"), F.col("year")
     years = F.coalesce((ya != 0) & (yb != 0), F.lit(False))

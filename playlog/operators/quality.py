@@ -39,9 +39,15 @@ def duplicate_entities(enriched: DataFrame) -> DataFrame:
         F.count("*").over(group).alias("_n"),
         F.max("track_count").over(group).alias("_largest"),
         F.size(F.collect_set("artist").over(group)).alias("_spellings"),
+        F.array_sort(F.collect_list(F.when(F.col("album_id") != "", F.col("album_id"))).over(group)).alias("_ids"),
+        F.array_sort(F.collect_list("album_key").over(group)).alias("_keys"),
     ).where("_n >= 2")
-    pairs = facts.alias("a").join(facts.select("_artist", "_album", F.col("album_key").alias("_key"), F.col("album_id").alias("_id")).alias("b"), ["_artist", "_album"]).where("album_key <> _key")
-    related = pairs.groupBy("album_key").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("_id") != "", F.col("_id")))), "; ").alias("related_album_ids"), F.array_join(F.array_sort(F.collect_list("_key")), "; ").alias("related_album_keys"))
+    # keys are an album's own, and so are ids where there are any: without its own are its relatives'
+    related = facts.select(
+        "album_key",
+        F.array_join(F.array_remove("_ids", F.col("album_id")), "; ").alias("related_album_ids"),
+        F.array_join(F.array_remove("_keys", F.col("album_key")), "; ").alias("related_album_keys"),
+    )
 
     def listed(c: str):
         return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", c))), lambda s: s[c]), "; ")

@@ -160,7 +160,7 @@ def history_text(a: Analyses, source: str) -> str:
     """Headline figures and the leading rows of each analysis."""
     c, out = a.config, Report()
     top = c.top
-    facts = a.log.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"), F.count_distinct("track_id").alias("tracks"), F.sum("duration").alias("seconds")).first()
+    facts = a.heard.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"), F.count_distinct("track_id").alias("tracks"), F.sum("duration").alias("seconds")).first()
     if not facts["n"]:
         return "No hay reproducciones para lo que se ha pedido.\n"
     sessions = a.sessions().agg(F.count("*").alias("n"), F.median("tracks").alias("median")).first()
@@ -257,7 +257,7 @@ def library_text(a: Analyses, with_plays: bool) -> str:
     out.title("BIBLIOTECA")
     out.lines += [f"Canciones: {thousands(totals['n'])}; artistas: {thousands(totals['artists'])}; álbumes: {thousands(totals['albums'])}", f"Duración: {length(totals['seconds'] or 0)}"]
     if with_plays:
-        heard = a.log.agg(F.count_distinct("track_id")).first()[0]
+        heard = a.heard.agg(F.count_distinct("track_id")).first()[0]
         out.lines.append(f"Escuchadas: {thousands(heard)}; nunca: {thousands(max(0, totals['n'] - heard))} ({percent(max(0, totals['n'] - heard), totals['n'])})")
     genres = a.enriched.select(F.explode(split_genres(F.col("genre"))).alias("genre")).groupBy("genre").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "genre").limit(20).collect()
     out.section("GÉNEROS", genres, "{n:7d}  {genre}")

@@ -4,12 +4,15 @@ star schema."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlog.config import EngineConfig
+from playlog.functions.session import cut
 from playlog.operators import albums, model, plays, quality
 from playlog.sources.tables import Library, from_star_schema
 
@@ -19,19 +22,38 @@ STAR_CONFIG = EngineConfig(resurrection_days=7, transition_window=24 * 60)
 
 class Analyses:
     """All analyses of a library, each built when first asked for; what several need is
-    built once."""
+    built once and, with `keep`, materialised."""
 
-    def __init__(self, library: Library, config: EngineConfig):
+    def __init__(self, library: Library, config: EngineConfig, keep: bool = False):
         self.library = library
+        self.keep = keep
         self.config = config.clamped()
 
     @cached_property
     def enriched(self) -> DataFrame:
         return model.enrich(self.library.tracks)
 
+    @cached_property
+    def heard(self) -> DataFrame:
+        """Plays with their tracks, for what needs no place in the order of all plays."""
+        return self._kept(model.heard(self.library.plays, self.enriched))
+
+    @cached_property
+    def ordered(self) -> DataFrame:
+        return model.ordered(self.library.plays, self.library.tracks)
+
     @cached_property
     def log(self) -> DataFrame:
-        return model.play_log(self.library.plays, self.enriched)
+        return model.with_tracks(self.ordered, self.enriched)
+
+    def with_annotations(self, annotations: DataFrame) -> Analyses:
+        """The same over other counters; what was built before is shared, none of it depends on them."""
+        other = copy(self)
+        other.library = replace(self.library, annotations=annotations)
+        return other
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return cut(df) if self.keep else df
 
     @cached_property
     def quality(self) -> DataFrame:
@@ -39,39 +61,39 @@ class Analyses:
 
     @cached_property
     def runs(self) -> DataFrame:
-        return albums.album_runs(self.log, self.config.session_gap, self.config.album_complete)
+        return albums.album_runs(self.ordered, self.enriched, self.config.session_gap, self.config.album_complete)
 
     @cached_property
     def _threads(self) -> tuple[DataFrame, DataFrame]:
         c = self.config
-        return albums.album_threads(self.log, self.quality, c.session_gap, c.thread_hours, c.resume_slack, c.album_complete)
+        return albums.album_threads(self.ordered, self.enriched, self.quality, c.session_gap, c.thread_hours, c.resume_slack, c.album_complete)
 
     def sessions(self) -> DataFrame:
-        return plays.sessions(self.log, self.config.session_gap)
+        return plays.sessions(self.ordered, self.enriched, self.config.session_gap)
 
     def sessions_by_user(self) -> DataFrame:
-        return plays.sessions(self.log, self.config.session_gap, scope="user")
+        return plays.sessions(self.heard.select("gidx", "at", "user_id", "user_name", "track_id"), self.enriched, self.config.session_gap, scope="user")
 
     def weekly_obsessions(self) -> DataFrame:
-        return plays.weekly_obsessions(self.log)
+        return plays.weekly_obsessions(self.heard)
 
     def resurrections(self) -> DataFrame:
-        return plays.resurrections(self.log, self.config.resurrection_days)
+        return plays.resurrections(self.heard, self.config.resurrection_days)
 
     def track_pairs(self) -> DataFrame:
-        return plays.track_pairs(self.log, self.config.pair_window)
+        return plays.track_pairs(self.log, self.enriched, self.config.pair_window)
 
     def context_jumps(self) -> DataFrame:
-        return plays.context_jumps(self.log, self.config.pair_window)
+        return plays.context_jumps(self.log, self.enriched, self.config.pair_window)
 
     def discoveries(self) -> DataFrame:
-        return plays.discoveries(self.log)
+        return plays.discoveries(self.heard)
 
     def weekly_album_dominance(self) -> DataFrame:
-        return plays.weekly_dominance(self.log, "album")
+        return plays.weekly_dominance(self.heard, "album")
 
     def weekly_artist_dominance(self) -> DataFrame:
-        return plays.weekly_dominance(self.log, "artist")
+        return plays.weekly_dominance(self.heard, "artist")
 
     def album_eras(self) -> DataFrame:
         return plays.dominance_eras(self.weekly_album_dominance(), "album")
@@ -80,49 +102,49 @@ class Analyses:
         return plays.dominance_eras(self.weekly_artist_dominance(), "artist")
 
     def historical_vs_recent_albums(self) -> DataFrame:
-        return plays.historical_vs_recent(self.log, self.enriched, self.library.annotations, self.library.users, "album")
+        return plays.historical_vs_recent(self.heard, self.enriched, self.library.annotations, self.library.users, "album")
 
     def historical_vs_recent_artists(self) -> DataFrame:
-        return plays.historical_vs_recent(self.log, self.enriched, self.library.annotations, self.library.users, "artist")
+        return plays.historical_vs_recent(self.heard, self.enriched, self.library.annotations, self.library.users, "artist")
 
     def artist_depth(self) -> DataFrame:
-        return plays.artist_depth(self.log, self.enriched)
+        return plays.artist_depth(self.heard, self.enriched)
 
     def top_tracks(self) -> DataFrame:
-        return plays.top_tracks(self.log)
+        return plays.top_tracks(self.heard)
 
     def monthly(self) -> DataFrame:
-        return plays.counts_by(self.log, month=F.date_format("at", "yyyy-MM"))
+        return plays.counts_by(self.heard, month=F.date_format("at", "yyyy-MM"))
 
     def yearly(self) -> DataFrame:
-        return plays.counts_by(self.log, year=F.year("at"))
+        return plays.counts_by(self.heard, year=F.year("at"))
 
     def hourly(self) -> DataFrame:
-        return plays.counts_by(self.log, hour=F.hour("at"))
+        return plays.counts_by(self.heard, hour=F.hour("at"))
 
     def user_counts(self) -> DataFrame:
-        return plays.counts_by(self.log, user=F.col("user_name"))
+        return plays.counts_by(self.heard, user=F.col("user_name"))
 
     def artist_counts(self) -> DataFrame:
-        return plays.counts_by(self.log, artist=F.col("artist"))
+        return plays.counts_by(self.heard, artist=F.col("artist"))
 
     def album_counts(self) -> DataFrame:
-        return plays.counts_by(self.log, artist=F.col("artist"), album=F.col("album"))
+        return plays.counts_by(self.heard, artist=F.col("artist"), album=F.col("album"))
 
     def genre_counts(self) -> DataFrame:
-        return plays.genre_counts(self.log)
+        return plays.genre_counts(self.heard)
 
     def plays_export(self) -> DataFrame:
-        return plays.plays_export(self.log, self.enriched)
+        return plays.plays_export(self.heard, self.enriched)
 
     def library_summary(self) -> DataFrame:
-        return plays.library_summary(self.enriched, self.log)
+        return plays.library_summary(self.enriched, self.heard)
 
     def album_catalog(self) -> DataFrame:
         return model.catalogue(self.enriched).drop("added_at")
 
     def album_library_coverage(self, selected: list[str] | None = None) -> DataFrame:
-        return albums.library_coverage(self.log, self.enriched, self.library.annotations, self.library.users, selected)
+        return albums.library_coverage(self.heard, self.enriched, self.library.annotations, self.library.users, selected)
 
     def album_runs(self) -> DataFrame:
         return self.runs
@@ -167,7 +189,7 @@ class Analyses:
         return self.legacy_playcounts().groupBy("artist", "album").agg(F.sum("play_count").alias("play_count"))
 
 
-NAMES = tuple(n for n in vars(Analyses) if not n.startswith("_") and n not in ("enriched", "log", "quality", "runs"))
+NAMES = tuple(n for n in vars(Analyses) if not n.startswith("_") and n not in ("enriched", "heard", "log", "ordered", "quality", "runs", "with_annotations"))
 
 
 def visible(df: DataFrame) -> DataFrame:

@@ -217,18 +217,24 @@ class SqliteLibrary:
 
     def plays(self) -> DataFrame:
         """Dated plays; rows without a date that can be read are left out."""
+        named = self._all_plays().where("at is not null").join(self.users(), "user_id", "left")
+        return named.select("seq", "at", "track_id", "user_id", F.coalesce("user_name", F.when(F.col("user_id") != "", F.col("user_id")), F.lit(UNKNOWN_USER)).alias("user_name"))
+
+    def undatable(self) -> int:
+        """How many plays have no date that can be read."""
+        return self._all_plays().where("at is null").count()
+
+    def _all_plays(self) -> DataFrame:
         s = self.source
         if s is None:
-            return self.spark.createDataFrame([], "seq long, at timestamp, track_id string, user_id string, user_name string")
+            return self.spark.createDataFrame([], "seq long, at timestamp, track_id string, user_id string")
         rows = self._read(s.table, [c for c in (s.media, s.time, s.user, s.item_type) if c], [s.time])
         if s.item_type and s.media.lower() == "item_id" and (kind := self._accepted_type(s.table, s.item_type)):
             rows = rows.where(F.col(s.item_type) == kind)
         if s.user:
             rows = rows.where(self._chosen(F.col(s.user)))
         at = S.parse_dt(F.col(s.time), F.col(f"{s.time}__type").isin("integer", "real"))
-        out = rows.select(F.col("load_seq").alias("seq"), at.alias("at"), S.norm(F.col(s.media)).alias("track_id"), (S.norm(F.col(s.user)) if s.user else F.lit("")).alias("user_id")).where("at is not null")
-        named = out.join(F.broadcast(self.users()), "user_id", "left")
-        return named.select("seq", "at", "track_id", "user_id", F.coalesce("user_name", F.when(F.col("user_id") != "", F.col("user_id")), F.lit(UNKNOWN_USER)).alias("user_name"))
+        return rows.select(F.col("load_seq").alias("seq"), at.alias("at"), S.norm(F.col(s.media)).alias("track_id"), (S.norm(F.col(s.user)) if s.user else F.lit("")).alias("user_id"))
 
     def annotations(self, strict: bool = False) -> DataFrame:
         """Accumulated counters; strict ones need a user column and the type `media_file`."""

@@ -65,3 +65,11 @@ def test_report_numbers():
     assert thousands(1234567) == "1.234.567" and percent(1, 3) == "33,3%" and percent(1, 0) == "0,0%"
     assert length(90061) == "1 d 01 h 01 min" and length(-5) == "0 min" and length(3600) == "1 h 00 min"
     assert bar(1, 1000) == "█" and len(bar(10, 10)) == 30
+
+
+def test_exact_mean_of_many_groups(spark):
+    rnd = random.Random(3)
+    groups = {g: [float(round(rnd.choice([0, rnd.uniform(0, 100), rnd.randint(0, 3) / 10, 100]), 1)) for _ in range(rnd.choice([1, 2, 3, 7, 40, 900]))] for g in range(300)}
+    df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v], "g int, x double")
+    got = {r["g"]: r["m"] for r in df.groupBy("g").agg(S.exact_mean(F.col("x")).alias("m")).collect()}
+    assert got == {g: float(statistics.mean(v)) for g, v in groups.items()}
