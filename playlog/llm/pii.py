@@ -285,21 +285,30 @@ def accepted_patterns(found: DataFrame, rounds: int | None = None, support: int
     spread = found.select(F.explode(tagged).alias("x")).select("x.kind", "x.value", F.explode("x.patterns").alias("pattern"))
     edges = spread.select("kind", "pattern", "value").where(F.col("pattern") != "").distinct()
     edges = cut(edges)
-    seeds = edges.where(F.col("kind") != "other").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
-    links = edges.select("pattern", "value").distinct()
-    sizes = links.groupBy("pattern").agg(F.count("*").alias("size"))
-    known, last, done = seeds, (0, 0.0), 0
+    # a pattern of fewer instances than must support it is never accepted
+    every = edges.select("pattern", "value").distinct()
+    sizes = every.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= support)
+    links = cut(every.join(sizes, "pattern"))
+    seeds = cut(edges.where(F.col("kind") != "other").select("kind", "value").distinct().withColumn("score", F.lit(1.0)))
+    known, scored, last, done = seeds, None, (0, 0.0), 0
     # Scores only grow from round to round, so this ends.
     while True:
-        summed = links.join(known, "value").groupBy("kind", "pattern").agg(F.sum("score").alias("mass"), F.count("*").alias("backed"))
-        scored = summed.where(F.col("backed") >= support).join(sizes, "pattern").withColumn("score", F.col("mass") / (F.col("size") + 1)).where(F.col("score") >= least).select("kind", "pattern", "score")
-        scored = cut(scored)
+        held = links.join(known, "value")
+        own = F.lit(False)
+        if scored is not None:
+            # Instances whose best pattern this is have its score, whatever that will be: they
+            # are left out of the mean, which so settles at once instead of over many rounds.
+            held = held.join(scored.select("kind", "pattern", F.col("score").alias("before")), ["kind", "pattern"], "left")
+            own = F.coalesce(F.col("score") <= F.col("before"), F.lit(False))
+        summed = held.groupBy("kind", "pattern").agg(F.first("size").alias("size"), F.sum(F.when(own, 0.0).otherwise(F.col("score"))).alias("mass"), F.count_if(own).alias("own"), F.count("*").alias("backed"))
+        score = F.col("mass") / (F.col("size") + 1 - F.col("own"))
+        scored = cut(summed.where(F.col("backed") >= support).withColumn("score", score).where(F.col("score") >= least).select("kind", "pattern", "score"))
         done += 1
         now = scored.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).collect()[0]
         if done == rounds or now[0] == last[0] and now[1] - last[1] <= SETTLED * now[0]:
             break
         last = (now[0], now[1])
-        reached = links.join(scored, "pattern").groupBy("kind", "value").agg(F.max("score").alias("score"))
+        reached = links.join(scored, "pattern").select("kind", "value", "score")
         known = reached.unionByName(seeds).groupBy("kind", "value").agg(F.max("score").alias("score"))
     rank = F.struct(F.col("score"), *[F.col("kind") == k for k in ALL_KINDS])
     return scored.groupBy("pattern").agg(F.max_by("kind", rank).alias("kind"), F.max("score").alias("score"))
