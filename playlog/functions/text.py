@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+# What titles are cleaned of.
 _MARKS = re.compile(r"[^a-z0-9]+")
 _STEPS = (
     (re.compile(r"\.[a-z0-9]{2,5}$"), ""),
