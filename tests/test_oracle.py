@@ -1,7 +1,9 @@
 """Every query against its SQL on the smallest driver tables, where they are at hand."""
 
+import difflib
 import glob
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -35,5 +37,17 @@ def test_query_matches_sql(spark, duck, name):
     assert got == canonical(duck.sql(oracle.ORACLES[name]).df())
 
 
-def test_all_but_one_have_sql():
-    assert set(catalogue.queries()) - set(oracle.ORACLES) == {"metadata_issues"}
+def test_all_have_sql():
+    assert set(catalogue.queries()) == set(oracle.ORACLES)
+
+
+def test_similarity_in_sql():
+    """The SQL's similarity against the standard library's, ties and empty texts included."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("aab c1", k=draw.randrange(1, 25))) for _ in range(600)]
+    pairs = [*zip(texts[::2], texts[1::2], strict=True), ("same", "same"), ("abcd", "wxyz"), ("ab ab", "ba ba ab")]
+    frame = pd.DataFrame(pairs, columns=["a", "b"]).reset_index(names="id")
+    con = duckdb.connect()
+    con.register("pairs", frame)
+    got = dict(con.sql(f"WITH RECURSIVE{oracle.similarity('pairs')} SELECT id, ratio FROM alike").fetchall())
+    assert got == {i: difflib.SequenceMatcher(None, a, b).ratio() for i, (a, b) in enumerate(pairs)}
