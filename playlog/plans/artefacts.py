@@ -11,7 +11,7 @@ import csv
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playlog.plans.catalogue import Analyses, visible
@@ -81,7 +81,7 @@ BASE = ("plays", "weekly_obsessions", "resurrections", "track_pairs", "sessions"
 THREADS = ("album_threads", "album_thread_completion", "album_resume_events", "album_thread_resurrections", "metadata_issues")
 
 
-def ordered(name: str, df: DataFrame) -> DataFrame:
+def order_of(name: str) -> list[Column]:
     keys = []
     for key in ORDER[name].split():
         column = F.col(key.lstrip("-~!?"))
@@ -95,12 +95,19 @@ def ordered(name: str, df: DataFrame) -> DataFrame:
             keys.append(F.when(column == "baja", 0).when(column == "media", 1).otherwise(2))
         else:
             keys.append(column)
-    return df.orderBy(*keys)
+    return keys
+
+
+def ordered(name: str, df: DataFrame) -> DataFrame:
+    return df.orderBy(*order_of(name))
+
+
+def rows_of(analyses: Analyses, name: str) -> DataFrame:
+    return getattr(analyses, "plays_export" if name == "plays" else name)()
 
 
 def frame(analyses: Analyses, name: str) -> DataFrame:
-    df = getattr(analyses, "plays_export" if name == "plays" else name)()
-    return ordered(name, df).select(*FIELDS[name])
+    return ordered(name, rows_of(analyses, name)).select(*FIELDS[name])
 
 
 def write_csv(df: DataFrame, path: Path) -> None:

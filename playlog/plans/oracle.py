@@ -201,15 +201,15 @@ _BODIES = {
         f"SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY g) AS n FROM (SELECT *, CASE WHEN epoch_us(tm) - epoch_us(lag(tm) OVER (PARTITION BY user_id ORDER BY g)) <= {_C.session_gap * _MIN} THEN 0 ELSE 1 END AS new FROM log)", "user_id || ':' || n::BIGINT"
     ),
     "weekly_obsessions": f"""
-SELECT year, week, user, plays, week_total, {_share("plays", "week_total")} AS share, artist, title, album, track_id
+SELECT year, week, user, plays, week_total, {_share("plays", "week_total")} AS share, artist, title, album, track_id, _first
 FROM (SELECT *, sum(plays) OVER (PARTITION BY year, week, user)::BIGINT AS week_total FROM (
-  SELECT isoyear(tm) AS year, week(tm) AS week, user_name AS user, track_id, artist, title, album, count(*) AS plays FROM log GROUP BY ALL))
+  SELECT isoyear(tm) AS year, week(tm) AS week, user_name AS user, track_id, artist, title, album, count(*) AS plays, min(g) AS _first FROM log GROUP BY ALL))
 WHERE plays >= 3 OR (plays >= 2 AND week_total <= 12)""",
     "resurrections": f"""
-SELECT user_name AS user, {_round("d", 1)} AS silent_days, {_iso("b")} AS before, {_iso("tm")} AS "return", artist, title, album, track_id
+SELECT user_name AS user, {_round("d", 1)} AS silent_days, {_iso("b")} AS before, {_iso("tm")} AS "return", artist, title, album, track_id, g AS _first
 FROM (SELECT *, {_span("b", "tm", 86400)} AS d FROM (SELECT *, lag(tm) OVER (PARTITION BY user_id, track_id ORDER BY g) AS b FROM log)) WHERE d >= {_C.resurrection_days}""",
     "track_pairs": f"""
-SELECT min(user_name) AS user, count(*) AS times, min(b_artist) AS from_artist, min(b_title) AS from_title, min(artist) AS to_artist, min(title) AS to_title, b_track AS from_track_id, track_id AS to_track_id
+SELECT min(user_name) AS user, count(*) AS times, min(b_artist) AS from_artist, min(b_title) AS from_title, min(artist) AS to_artist, min(title) AS to_title, b_track AS from_track_id, track_id AS to_track_id, min(g) AS _first
 FROM log WHERE {_ADJ} GROUP BY user_id, b_track, track_id HAVING count(*) >= 2""",
     "context_jumps": f""",
 j AS (SELECT *, {_GENRES.format("b_genre")} AS ga, {_GENRES.format("genre")} AS gb FROM log WHERE {_ADJ}),
@@ -217,10 +217,10 @@ k AS (SELECT *, len(list_intersect(ga, gb)) AS i, len(list_distinct(list_concat(
 SELECT user_name AS user, {_iso("tm")} AS "at",
   {_round("least(100.0::DOUBLE, (CASE WHEN lower(b_artist) <> lower(artist) THEN 25.0::DOUBLE ELSE 0 END + CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN 50.0::DOUBLE * (1.0::DOUBLE - i / o) WHEN len(ga) > 0 OR len(gb) > 0 THEN 18 ELSE 0 END) + least(25.0::DOUBLE, dy / 2.0::DOUBLE))", 1)} AS score,
   CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN 'alta' ELSE 'baja' END AS confidence, b_artist AS from_artist, b_title AS from_title, b_genre AS from_genre, b_year AS from_year, artist AS to_artist, title AS to_title, genre AS to_genre, year AS to_year,
-  concat_ws(', ', CASE WHEN lower(b_artist) <> lower(artist) THEN 'artista' END, CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN 'género' WHEN len(ga) > 0 OR len(gb) > 0 THEN 'género parcial' END, CASE WHEN dy >= 10 THEN dy || ' años' END) AS evidence
+  concat_ws(', ', CASE WHEN lower(b_artist) <> lower(artist) THEN 'artista' END, CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN 'género' WHEN len(ga) > 0 OR len(gb) > 0 THEN 'género parcial' END, CASE WHEN dy >= 10 THEN dy || ' años' END) AS evidence, g AS _first
 FROM k""",
     "discoveries": f"""
-SELECT min(user_name) AS user, count(*) AS plays, {_round(_span("min(tm)", "max(tm)", 86400), 1)} AS lifespan_days, {_iso("min(tm)")} AS first_play, {_iso("max(tm)")} AS last_play, min(artist) AS artist, min(title) AS title, min(album) AS album, track_id
+SELECT min(user_name) AS user, count(*) AS plays, {_round(_span("min(tm)", "max(tm)", 86400), 1)} AS lifespan_days, {_iso("min(tm)")} AS first_play, {_iso("max(tm)")} AS last_play, min(artist) AS artist, min(title) AS title, min(album) AS album, track_id, min(g) AS _first
 FROM log GROUP BY user_id, track_id HAVING count(*) >= 3""",
     "weekly_album_dominance": f",{_dominance('album')} SELECT * EXCLUDE (monday) FROM dom",
     "weekly_artist_dominance": f",{_dominance('artist')} SELECT * EXCLUDE (monday) FROM dom",
@@ -236,7 +236,7 @@ pl AS (SELECT owner_key, max_by(owner, g) AS artist, count(*) AS plays, count(DI
 SELECT artist, plays, library_tracks, heard_tracks, {_share("heard_tracks", "library_tracks")} AS track_breadth_pct, library_albums, heard_albums, {_share("heard_albums", "library_albums")} AS album_breadth_pct,
        {_share("alb.m", "plays")} AS top_album_share_pct, {_share("trk.m", "plays")} AS top_track_share_pct
 FROM pl JOIN lib USING (owner_key) JOIN alb USING (owner_key) JOIN trk USING (owner_key)""",
-    "top_tracks": " SELECT count(*) AS plays, artist, title, album, genre, year AS release_year, track_id FROM log GROUP BY ALL",
+    "top_tracks": " SELECT count(*) AS plays, artist, title, album, genre, year AS release_year, track_id, min(g) AS _first FROM log GROUP BY ALL",
     "monthly": " SELECT strftime(tm, '%Y-%m') AS month, count(*) AS plays FROM log GROUP BY 1",
     "yearly": " SELECT year(tm)::INT AS year, count(*) AS plays FROM log GROUP BY 1",
     "hourly": " SELECT hour(tm)::INT AS hour, count(*) AS plays FROM log GROUP BY 1",
@@ -246,7 +246,7 @@ FROM pl JOIN lib USING (owner_key) JOIN alb USING (owner_key) JOIN trk USING (ow
     "genre_counts": f" SELECT genre, count(*) AS plays FROM (SELECT unnest({_GENRES.format('genre')}) AS genre FROM log) GROUP BY 1",
     "plays_export": f"""
 SELECT {_iso("tm")} AS datetime, strftime(tm, '%Y-%m-%d') AS date, year(tm)::INT AS year, strftime(tm, '%Y-%m') AS month, dayname(tm) AS weekday, hour(tm)::INT AS hour, user_name AS user, track_id, artist, owner AS album_artist, album, album_key AS album_id,
-  1 AS disc_number, position AS track_number, title, genre, log.year AS release_year, duration, lpad(named::VARCHAR, 2, '0') || ' - ' || title || '.flac' AS path, '' AS mbid FROM log""",
+  1 AS disc_number, position AS track_number, title, genre, log.year AS release_year, duration, lpad(named::VARCHAR, 2, '0') || ' - ' || title || '.flac' AS path, '' AS mbid, g AS _first FROM log""",
     "library_summary": " SELECT count(*) AS tracks, count(DISTINCT owner_key) AS artists, count(DISTINCT album_key) AS albums, sum(duration::DECIMAL(20,6))::DOUBLE AS duration, count(*) FILTER (id NOT IN (SELECT track_id FROM log)) AS unplayed FROM tracks",
     "album_catalog": " SELECT album_key, album_key AS album_id, min(owner) AS artist, min(album) AS album, count(*)::INT AS track_count, sum(duration::DECIMAL(20,6))::DOUBLE AS duration, min(year) AS year FROM tracks GROUP BY album_key",
     "album_library_coverage": f""",
@@ -301,4 +301,45 @@ FROM found WHERE wrong OR unlike""",
     "legacy_album_counts": f",{_LEGACY} SELECT artist, album, sum(play_count)::BIGINT AS play_count FROM leg GROUP BY 1, 2",
 }
 
-ORACLES = {name: f"WITH RECURSIVE {_BASE.strip()}{body}" for name, body in _BODIES.items()}
+_FULL = {name: f"WITH RECURSIVE {_BASE.strip()}{body}" for name, body in _BODIES.items()}
+ORACLES = {name: f"SELECT * EXCLUDE (_first) FROM ({sql})" if "AS _first" in sql else sql for name, sql in _FULL.items()}
+
+#: Order of each artefact's rows and what names them; `_first` is the place of a row's first play.
+_PLACES = {
+    "album_completion": ("probable_full_plays DESC, album_runs DESC, avg_completion_pct DESC, user, album_key", "user, album_key"),
+    "album_eras": ("weeks DESC, dominant_plays DESC, avg_share_pct DESC, user, start_week", "user, start_week, end_week"),
+    "album_library_coverage": ("lower(user), lower(artist), lower(album), album_id", "user, album_id"),
+    "album_metadata_issues": ("lower(artist), lower(album), track_count, album_key", "album_key"),
+    "album_resume_events": ("pause_hours DESC, thread_id, from_time", "thread_id, from_time, to_time"),
+    "album_resurrections": ('silent_days DESC, user, album_key, "return"', 'user, album_key, "return"'),
+    "album_runs": ("run_id", "run_id"),
+    "album_thread_completion": ("probable_full_plays DESC, logical_threads DESC, avg_coverage_pct DESC, user, album_key", "user, album_key"),
+    "album_thread_resurrections": ('silent_days DESC, user, album_key, "return"', 'user, album_key, "return"'),
+    "album_threads": ("thread_id", "thread_id"),
+    "album_transitions": ("times DESC, user, from_album_key, to_album_key", "user, from_album_key, to_album_key"),
+    "artist_depth": ("plays DESC, track_breadth_pct DESC, artist", "artist"),
+    "artist_eras": ("weeks DESC, dominant_plays DESC, avg_share_pct DESC, user, start_week", "user, start_week, end_week"),
+    "context_jumps": ("score DESC, confidence = 'alta' DESC, _first", 'user, "at", from_title, to_title'),
+    "discoveries": ("lifespan_days DESC, plays DESC, _first", "user, first_play, track_id"),
+    "historical_vs_recent_albums": ("historical_total DESC, recent_scrobbles DESC, user, album_key", "user, album_key"),
+    "historical_vs_recent_artists": ("historical_total DESC, recent_scrobbles DESC, user, artist", "user, artist"),
+    "legacy_playcounts": ("play_count DESC, user, track_id", "user, track_id"),
+    "metadata_issues": ("CASE confidence WHEN 'baja' THEN 0 WHEN 'media' THEN 1 ELSE 2 END, artist, album, track_number, track_id", "track_id"),
+    "monthly": ("month", "month"),
+    "plays": ("_first", "datetime, user, track_id"),
+    "resurrections": ("silent_days DESC, _first", 'user, "return", track_id'),
+    "sessions": ("session_id", "session_id"),
+    "top_tracks": ("plays DESC, _first", "track_id"),
+    "track_pairs": ("times DESC, _first", "user, from_track_id, to_track_id"),
+    "weekly_album_dominance": ("user, year, week", "user, year, week"),
+    "weekly_obsessions": ("year DESC, week DESC, plays DESC, _first", "year, week, user, track_id"),
+}
+
+
+def _leading(name: str, order: str, named: str) -> str:
+    order, named = (x.replace("user", '"user"') for x in (order, named))
+    body = _FULL["plays_export" if name == "plays" else name]
+    return f"SELECT '{name}' AS artefact, position, concat_ws('|', {named}) AS row FROM (SELECT *, row_number() OVER (ORDER BY {order})::INT AS position FROM ({body})) WHERE position <= {_C.top}"
+
+
+ORACLES["leading_rows"] = " UNION ALL ".join(f"({_leading(name, *told)})" for name, told in _PLACES.items())

@@ -9,9 +9,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from playlog.plans import catalogue, oracle
+from playlog.plans import artefacts, catalogue, leading, oracle
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = catalogue.queries() | leading.queries()
 
 
 def canonical(df):
@@ -33,12 +34,13 @@ def duck():
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(oracle.ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    got = canonical(catalogue.queries()[name](spark, DATA).toPandas())
+    got = canonical(QUERIES[name](spark, DATA).toPandas())
     assert got == canonical(duck.sql(oracle.ORACLES[name]).df())
 
 
 def test_all_have_sql():
-    assert set(catalogue.queries()) == set(oracle.ORACLES)
+    assert set(QUERIES) == set(oracle.ORACLES)
+    assert set(leading.NAMED) == set(artefacts.ORDER)
 
 
 def test_similarity_in_sql():
