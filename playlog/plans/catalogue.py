@@ -44,7 +44,7 @@ class Analyses:
 
     @cached_property
     def log(self) -> DataFrame:
-        return model.with_tracks(self.ordered, self.enriched)
+        return self._kept(model.with_tracks(self.ordered, self.enriched))
 
     def with_annotations(self, annotations: DataFrame) -> Analyses:
         """The same over other counters; what was built before is shared, none of it depends on them."""
@@ -61,12 +61,13 @@ class Analyses:
 
     @cached_property
     def runs(self) -> DataFrame:
-        return albums.album_runs(self.ordered, self.enriched, self.config.session_gap, self.config.album_complete)
+        return self._kept(albums.album_runs(self.ordered, self.enriched, self.config.session_gap, self.config.album_complete))
 
     @cached_property
     def _threads(self) -> tuple[DataFrame, DataFrame]:
         c = self.config
-        return albums.album_threads(self.ordered, self.enriched, self.quality, c.session_gap, c.thread_hours, c.resume_slack, c.album_complete)
+        threads, events = albums.album_threads(self.ordered, self.enriched, self.quality, c.session_gap, c.thread_hours, c.resume_slack, c.album_complete)
+        return self._kept(threads), self._kept(events)
 
     def sessions(self) -> DataFrame:
         return plays.sessions(self.ordered, self.enriched, self.config.session_gap)

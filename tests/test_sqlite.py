@@ -89,3 +89,66 @@ def test_users_by_name_or_id(spark, tmp_path):
     assert SqliteLibrary(spark, str(db), "ALICE").selected == ["user-1"]
     assert SqliteLibrary(spark, str(db), "ghost").selected == ["ghost"]
     assert SqliteLibrary(spark, str(db)).selected is None
+
+
+LOG = "CREATE TABLE scrobbles (media_file_id TEXT, user_id TEXT, submission_time TEXT)"
+NOTES = "CREATE TABLE annotation (user_id TEXT, item_id TEXT, item_type TEXT, play_date TEXT, play_count TEXT)"
+
+
+def test_what_files_and_report_say(spark, tmp_path, capsys):
+    played = [*[(f"t{i}", f"2026-01-01T12:{5 * i:02d}:00Z") for i in (1, 2, 3)], ("t1", "2026-01-05T08:00:00Z"), ("gone", "2026-01-06T08:00:00Z"), ("t2", "who knows")]
+    notes = [("INSERT INTO annotation VALUES ('user-1', 't1', 'media_file', '2025-12-01T00:00:00Z', '9')",)]
+    db = library(tmp_path / "h.db", MEDIA, *USERS, *tracks(3), LOG, NOTES, *[("INSERT INTO scrobbles VALUES (?, 'user-1', ?)", p) for p in played], *notes)
+    out = tmp_path / "out"
+    assert cli.run(spark, cli.arguments([str(db), "-o", str(out)])) == 0
+    told = capsys.readouterr()
+    assert "1 plays of unknown tracks" in told.err
+    assert "1 plays without a readable date" in told.err
+    assert [(r["datetime"][:16], r["track_id"]) for r in table(out / "plays.csv")] == [("2026-01-01 12:05", "t1"), ("2026-01-01 12:10", "t2"), ("2026-01-01 12:15", "t3"), ("2026-01-05 08:00", "t1")]
+    first, second = table(out / "sessions.csv")
+    assert (first["tracks"], first["span_minutes"], first["estimated_music_minutes"], first["top_artist"], first["top_album"]) == ("3", "10.0", "9.0", "Band", "Disc")
+    assert second["tracks"] == "1"
+    assert [(r["status"], r["full_pass"], r["completion_pct"]) for r in table(out / "album_runs.csv")] == [("completo_probable", "1", "100.0"), ("pista_suelta", "0", "33.3")]
+    (done,) = table(out / "album_completion.csv")
+    assert (done["album_runs"], done["probable_full_plays"], done["full_play_rate_pct"]) == ("1", "1", "100.0")
+    assert [(r["track_id"], r["plays"]) for r in table(out / "top_tracks.csv")] == [("t1", "2"), ("t2", "1"), ("t3", "1")]
+    assert table(out / "monthly.csv") == [{"month": "2026-01", "plays": "4"}]
+    (kept,) = table(out / "historical_vs_recent_albums.csv")
+    assert (kept["historical_total"], kept["recent_scrobbles"], kept["estimated_before_history"], kept["mismatch_tracks"]) == ("9", "4", "7", "0")
+    text = (out / "report.txt").read_text(encoding="utf-8")
+    for line in (
+        "Origen: scrobbles.submission_time",
+        "Periodo: 2026-01-01 12:05 → 2026-01-05 08:00",
+        "Reproducciones: 4; canciones distintas: 3",
+        "Repeticiones: 1 (25,0%)",
+        "Música: 12 min",
+        "Sesiones (corte de 30 min): 2; mediana de canciones: 2",
+        "Pasadas de álbum: 1; completas: 1 (100,0%), umbral 80%",
+        "   1 completas |   1 pasadas | 100.0% | Band — Disc",
+        "      2  Band — Track 1",
+        "12:00        3  " + "█" * 30,
+        "08:00        1  " + "█" * 10,
+        "Escuchadas: 3; nunca: 0 (0,0%)",
+    ):
+        assert line in text.splitlines(), line
+
+
+def test_one_user_of_several(spark, tmp_path):
+    played = [("t1", "user-1", "2026-01-01T12:00:00Z"), ("t1", "user-2", "2026-01-01T13:00:00Z"), ("t1", "user-3", "2026-01-01T14:00:00Z")]
+    db = library(tmp_path / "i.db", MEDIA, *USERS, "INSERT INTO user VALUES ('user-2', '')", *tracks(1), LOG, *[("INSERT INTO scrobbles VALUES (?,?,?)", p) for p in played])
+    names = {r["user_id"]: r["user_name"] for r in SqliteLibrary(spark, str(db)).plays().collect()}
+    assert names == {"user-1": "Alice", "user-2": "user-2", "user-3": "user-3"}
+    assert [r["user_id"] for r in SqliteLibrary(spark, str(db), "alice").plays().collect()] == ["user-1"]
+
+
+def test_counters_by_type_and_last_stored(spark, tmp_path):
+    rows = [("user-1", "t1", "song", "2026-01-01T00:00:00Z", "3"), ("user-1", "t1", "song", "", "5"), ("user-1", "t2", "album", "", "4"), ("user-1", "t3", "song", "", "0"), ("user-1", "t3", "media_file", "", "2")]
+    db = library(tmp_path / "j.db", MEDIA, *USERS, *tracks(3), NOTES, *[("INSERT INTO annotation VALUES (?,?,?,?,?)", r) for r in rows])
+    source = SqliteLibrary(spark, str(db))
+    # of the accepted types the first by name is read; strict ones are `media_file` alone
+    assert [(r["track_id"], r["play_count"]) for r in source.annotations().collect()] == [("t3", 2)]
+    assert [(r["track_id"], r["play_count"]) for r in source.annotations(strict=True).collect()] == [("t3", 2)]
+    songs = library(tmp_path / "k.db", MEDIA, *USERS, *tracks(3), NOTES, *[("INSERT INTO annotation VALUES (?,?,?,?,?)", r) for r in rows[:4]])
+    source = SqliteLibrary(spark, str(songs))
+    assert [(r["track_id"], r["play_count"], r["last_played"]) for r in source.annotations().collect()] == [("t1", 5, None)]
+    assert source.annotations(strict=True).isEmpty()
