@@ -16,9 +16,14 @@ id.  Strings are compared in full, over all documents:
    is left unbounded shares 50 bytes or more; its least id decides.
 4. Shards answer with one bit for each window of a stretch, batches apply the answers.
 
-A bucket sees an anchor once for each batch, whatever the number of copies; a shard sees a
-stretch once for each batch or, where there are more than FAN batches, once for each FAN of
-them, whose equal stretches are merged on the way to the shard and told apart on the way back.
+A bucket sees an anchor once for each batch, whatever the number of copies, and a shard sees a
+stretch once for each batch.  Anchors that stand in more than FAN batches have shards of their own,
+which see a stretch once for each FAN batches: its equals there are merged on the way to the
+shard and told apart on the way back.  All other stretches travel once.
+
+What buckets and shards tell is written to the shared checkpoint folder, a bit for each anchor and
+window, so that at no time more than the texts and one step's rows are on disk.  The documents are read once
+for each step, and must be the same each time.
 
 Defined results: null text is the empty text.  Rows without an id come after all ids.
 Rows that share an id don't remove each other's bytes.  Texts shorter than 50 bytes stay.
@@ -32,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlog.llm._bytes import mix, ranges, release, steady
-from playlog.llm._spark import keyed_texts_of, table
+from playlog.llm._spark import cut, keyed_texts_of, table
 
 LEAST = 50
 ANCHOR = 16
 #: Text bytes of a batch, of all anchors that meet in a bucket, and of a shard's share; in
 #: how many texts, one after the other, a shard is transformed.
 BATCH, BUCKET, SHARD, PARTS = 2_000_000, 24_000_000, 16_000_000, 16
-#: Batches whose stretches are merged before they meet those of others.
+#: Batches that an anchor may stand in before its equal stretches are merged, so many batches at a time.
 FAN = 2_048
 _LAST = np.iinfo(np.int64).max
 _END = 0xFF  # never in UTF-8
@@ -239,6 +244,16 @@ def repeated_windows(buf: np.ndarray, first: np.ndarray, windows: np.ndarray, id
 _SALT_BUCKET, _SALT_SHARD, _SALT_PART = 0x1234567, 0x7654321, 0x1357913
 
 
+#: What is told of a shard or merged for it.
+_MET = {"kind": pa.int32(), "fan": pa.int64(), "batch": pa.int64(), "part": pa.int32(), "bytes": pa.binary(), "windows": pa.binary(), "ids": pa.binary(), "subs": pa.binary()}
+
+
+def _table(kinds: dict[str, pa.DataType], columns: dict) -> pa.Table:
+    """A table of these columns, null where none is given."""
+    n = len(columns["kind"])
+    return pa.table({k: columns[k] if isinstance(columns.get(k), pa.ChunkedArray) else pa.array(columns.get(k, [None] * n), kind) for k, kind in kinds.items()})
+
+
 class Plan:
     """How many batches, buckets and shards there are; the functions of the four steps."""
 
@@ -248,6 +263,9 @@ class Plan:
         self.batches = max(1, -(-size // BATCH))
         self.buckets = max(12, -(-size // BUCKET))
         self.shards = max(12, -(-size // SHARD))
+        self.fan = FAN
+        #: From `shards` on they are those of anchors in more than FAN batches.
+        self.parts = self.shards * (2 if self.batches > self.fan else 1)
 
     def anchors(self, docs: pa.Table) -> pa.Table:
         batch = Batch(docs, self.least)
@@ -257,8 +275,9 @@ class Plan:
         release()
         return pa.table({"batch": pa.array([docs.column("batch")[0].as_py()] * len(out), pa.int64()), "bucket": pa.array([x[0] for x in out], pa.int32()), "data": pa.array([x[1] for x in out], pa.binary())})
 
-    @staticmethod
-    def twice(part: pa.Table) -> pa.Table:
+    def twice(self, part: pa.Table) -> pa.Table:
+        """For each anchor of each batch one bit, whether it occurs twice or more, and after these
+        bits another for each, whether in more than FAN batches, if any anchor of the entry is."""
         steady()
         blobs = part.column("data").to_pylist()
         raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 5)
@@ -267,13 +286,14 @@ class Plan:
         gram = gram.view("<u8").ravel()
         order = np.argsort(gram)
         gram = gram[order]
-        twin = np.zeros(len(gram), dtype=bool)
-        twin[1:] = gram[1:] == gram[:-1]
-        twin[:-1] |= twin[1:]
-        flag = np.zeros(len(gram), dtype=bool)
-        flag[order] = twin
-        ends = np.cumsum([len(x) // 5 for x in blobs])
-        bits = [np.packbits(x).tobytes() for x in np.split(flag, ends[:-1])]
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = gram[1:] != gram[:-1]
+        n = np.diff(np.append(np.flatnonzero(new), len(gram)))
+        flag, many = np.zeros(len(gram), dtype=bool), np.zeros(len(gram), dtype=bool)
+        flag[order] = np.repeat(n > 1, n)
+        many[order] = np.repeat((n > self.fan) & (self.batches > self.fan), n)
+        ends = np.cumsum([len(x) // 5 for x in blobs])[:-1]
+        bits = [np.packbits(x).tobytes() + (np.packbits(y).tobytes() if y.any() else b"") for x, y in zip(np.split(flag, ends), np.split(many, ends), strict=True)]
         return pa.table({"batch": part.column("batch"), "part": part.column("bucket"), "shard": pa.array([False] * len(bits)), "data": pa.array(bits, pa.binary())})
 
     def _candidates(self, docs: pa.Table, bits: dict[int, bytes]) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray]:
@@ -281,40 +301,48 @@ class Plan:
         run's text; one run (of the least id) for each text, in that order; shard edges."""
         batch = Batch(docs, self.least)
         _, edge, place, flag = batch.by_bucket(self.buckets)
+        many = np.zeros(len(flag), dtype=bool)
         for b, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
             if hi > lo and b in bits:
-                flag[lo:hi] |= np.unpackbits(np.frombuffer(bits[b], np.uint8), count=hi - lo).astype(bool)
-        batch.keep(np.flatnonzero(flag[place]))
+                told, half = np.frombuffer(bits[b], np.uint8), -(-(hi - lo) // 8)
+                flag[lo:hi] |= np.unpackbits(told[:half], count=hi - lo).astype(bool)
+                if len(told) > half:
+                    many[lo:hi] = np.unpackbits(told[half:], count=hi - lo).astype(bool)
+        runs = np.flatnonzero(flag[place])
+        many = many[place[runs]]
+        batch.keep(runs)
         text, one = same_stretches(batch.buf, batch.first, batch.windows + self.least - 1)
         # runs go by document, so the first of a text has its least id
         one = np.full(len(one), len(text), dtype=np.int64)
         np.minimum.at(one, text, np.arange(len(text)))
-        shard = (mix(batch.hash[one] ^ np.uint64(_SALT_SHARD)) % np.uint64(self.shards)).astype(np.int64)
+        shard = (mix(batch.hash[one] ^ np.uint64(_SALT_SHARD)) % np.uint64(self.shards)).astype(np.int64) + self.shards * many[one]
         by = np.lexsort((one, shard))
         place = np.empty(len(one), dtype=np.int64)
         place[by] = np.arange(len(one))
-        return batch, place[text], one[by], np.searchsorted(shard[by], np.arange(self.shards + 1))
+        return batch, place[text], one[by], np.searchsorted(shard[by], np.arange(self.parts + 1))
 
     @staticmethod
     def _told(answers: pa.Table, shard: bool) -> dict[int, bytes]:
         return {p: x for p, s, x in zip(*(answers.column(c).to_pylist() for c in ("part", "shard", "data")), strict=True) if s == shard}
 
     def stretches(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("batch", "part", "bytes", "windows", "ids", "subs")}
+        out: dict[str, list] = {k: [] for k in ("fan", "batch", "part", "bytes", "windows", "ids", "subs")}
         if docs.num_rows:
             batch, _, one, edge = self._candidates(docs, self._told(answers, False))
             for s, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                 if hi > lo:
                     runs = one[lo:hi]
                     windows = batch.windows[runs]
-                    out["batch"].append(docs.column("batch")[0].as_py())
+                    number = docs.column("batch")[0].as_py()
+                    out["fan"].append(number // self.fan if s >= self.shards else -1)
+                    out["batch"].append(number)
                     out["part"].append(s)
                     out["bytes"].append(batch.buf[ranges(batch.first[runs], windows + self.least - 1)].tobytes())
                     out["windows"].append(windows.astype(np.uint8).tobytes())
                     out["ids"].append(batch.ids[batch.owner[runs]].tobytes())
                     out["subs"].append((mix(batch.hash[runs] ^ np.uint64(_SALT_PART)) % np.uint64(PARTS)).astype(np.uint8).tobytes())
         release()
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(x, kind) for (k, x), kind in zip(out.items(), kinds, strict=True)})
 
     def _merged(self, part: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -353,29 +381,50 @@ class Plan:
         release()
         return self._masks(part, windows, gone)
 
+    def met(self, part: pa.Table) -> pa.Table:
+        """What `expand` tells of a shard (kind 0); of entries that are to be merged, see `merge`."""
+        if part.column("fan")[0].as_py() >= 0:
+            return self.merge(part)
+        told = self.expand(part)
+        return _table(_MET, {"kind": [0] * told.num_rows, "fan": [-1] * told.num_rows, "batch": told.column("batch"), "part": told.column("part"), "bytes": told.column("data")})
+
     def merge(self, part: pa.Table) -> pa.Table:
-        """The entries of some batches for a shard as one: each stretch once, with its least id."""
+        """The entries of some batches for a shard as one: each stretch once, with its least id
+        (kind 1); and for each of the entries its ids and the numbers of its stretches there (kind 2)."""
         part = part.sort_by("batch")
-        _, buf, each, _, _, one, least, subs = self._merged(part)
+        windows, buf, each, ids, text, one, least, subs = self._merged(part)
         size = each + self.least - 1
         raw = buf[ranges((np.cumsum(size) - size)[one], size[one])].tobytes()
+        ends = np.cumsum([len(x) for x in windows])[:-1]
         release()
-        columns = (part.column("fan")[0].as_py(), part.column("part")[0].as_py(), raw, each[one].astype(np.uint8).tobytes(), least.tobytes(), subs.tobytes())
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({name: pa.array([x], k) for name, x, k in zip(("batch", "part", "bytes", "windows", "ids", "subs"), columns, kinds, strict=True)})
+        n = part.num_rows
+        more: dict[str, list] = {
+            "kind": [1, *[2] * n],
+            "fan": [part.column("fan")[0].as_py()] * (n + 1),
+            "batch": [None, *part.column("batch").to_pylist()],
+            "part": [part.column("part")[0].as_py()] * (n + 1),
+            "bytes": [raw, *[None] * n],
+            "windows": [each[one].astype(np.uint8).tobytes(), *[None] * n],
+            "ids": [least.tobytes(), *(x.tobytes() for x in np.split(ids, ends))],
+            "subs": [subs.tobytes(), *(x.astype("<u4").tobytes() for x in np.split(text, ends))],
+        }
+        return _table(_MET, more)
 
     def spread(self, part: pa.Table, answer: pa.Table) -> pa.Table:
         """What `expand` told of merged entries, for the entries they were made of: a window
         that stays for the least id goes for all others."""
-        if not part.num_rows:
-            return pa.table({"batch": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "shard": pa.array([], pa.bool_()), "data": pa.array([], pa.binary())})
-        part = part.sort_by("batch")
-        windows, _, each, ids, text, one, least, _ = self._merged(part)
-        at = np.cumsum(each[one]) - each[one]
-        told = np.unpackbits(np.frombuffer(answer.column("data")[0].as_py(), np.uint8), count=int(each[one].sum())).astype(bool)
-        gone = told[ranges(at[text], each)] | np.repeat(ids > least[text], each)
-        release()
-        return self._masks(part, windows, gone)
+        rows = part.to_pylist()
+        out: dict[str, list] = {"batch": [], "part": [], "shard": [], "data": []}
+        for merged in (r for r in rows if r["kind"] == 1):
+            each, least = np.frombuffer(merged["windows"], np.uint8).astype(np.int64), np.frombuffer(merged["ids"], np.int64)
+            told = np.unpackbits(np.frombuffer(answer.column("data")[0].as_py(), np.uint8), count=int(each.sum())).astype(bool)
+            at = np.cumsum(each) - each
+            for r in (r for r in rows if r["kind"] == 2):
+                ids, text = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["subs"], "<u4")
+                gone = told[ranges(at[text], each[text])] | np.repeat(ids > least[text], each[text])
+                for k, x in zip(out, (r["batch"], r["part"], True, np.packbits(gone).tobytes()), strict=True):
+                    out[k].append(x)
+        return pa.table({k: pa.array(x, kind) for (k, x), kind in zip(out.items(), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)})
 
     def remove(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = {"doc_id": pa.int64(), "rid": pa.int64(), "key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "kept": pa.binary()}
@@ -429,15 +478,15 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, characters: bool = False
     dealt = texts.withColumn("batch", F.pmod("rid", F.lit(plan.batches)))
     by_batch = dealt.groupBy("batch")
     answer = "batch long, part int, shard boolean, data binary"
-    bits = by_batch.applyInArrow(lambda t: plan.anchors(t), "batch long, bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: plan.twice(t), answer)
-    stretches = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(lambda a, b: plan.stretches(a, b), "batch long, part int, bytes binary, windows binary, ids binary, subs binary")
-    if plan.batches > FAN:
-        entry = "batch long, part int, bytes binary, windows binary, ids binary, subs binary"
-        fanned = stretches.withColumn("fan", F.floor(F.col("batch") / FAN)).groupBy("fan", "part")
-        told = fanned.applyInArrow(lambda t: plan.merge(t), entry).groupBy("part").applyInArrow(lambda t: plan.expand(t), answer)
-        masks = fanned.cogroup(told.withColumnRenamed("batch", "fan").groupBy("fan", "part")).applyInArrow(lambda a, b: plan.spread(a, b), answer)
-    else:
-        masks = stretches.groupBy("part").applyInArrow(lambda t: plan.expand(t), answer)
+    bits = cut(by_batch.applyInArrow(lambda t: plan.anchors(t), "batch long, bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: plan.twice(t), answer))
+    entry = "batch long, part int, bytes binary, windows binary, ids binary, subs binary"
+    stretches = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(lambda a, b: plan.stretches(a, b), f"fan long, {entry}")
+    met = cut(stretches.groupBy("fan", "part").applyInArrow(lambda t: plan.met(t), f"kind int, fan long, {entry}"))
+    masks = met.where("kind = 0").select("batch", "part", F.lit(True).alias("shard"), F.col("bytes").alias("data"))
+    if plan.batches > plan.fan:
+        merged = met.where("kind = 1").select(F.col("fan").alias("batch"), "part", "bytes", "windows", "ids", "subs")
+        told = merged.groupBy("part").applyInArrow(lambda t: plan.expand(t), answer).withColumnRenamed("batch", "fan")
+        masks = masks.unionByName(met.where("kind > 0").groupBy("fan", "part").cogroup(told.groupBy("fan", "part")).applyInArrow(lambda a, b: plan.spread(a, b), answer))
     out = "doc_id long, rid long, key long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary"
     return by_batch.cogroup(bits.unionByName(masks).groupBy("batch")).applyInArrow(lambda a, b: plan.remove(a, b), out)
 

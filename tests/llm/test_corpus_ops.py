@@ -217,6 +217,76 @@ def test_suffix_removal_of_one_run_in_all_batches(spark, monkeypatch):
     assert sent <= 60
 
 
+def shuffle_files(spark):
+    """Sizes of the shuffle files that the session has on disk."""
+    import os
+
+    found = {}
+    for top in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs():
+        for folder, _, names in os.walk(top.getPath()):
+            for name in names:
+                try:
+                    found |= {name: os.path.getsize(f"{folder}/{name}")} if name.startswith("shuffle_") else {}
+                except OSError:
+                    pass  # gone meanwhile
+    return found
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    import time
+
+    from playlog.llm._spark import cut
+
+    before, setting = set(shuffle_files(spark)), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(20_000).selectExpr("id % 7919 AS k", "sha2(string(id), 256) AS t")
+    was = spark.conf.get(setting)
+    done = cut(rows.groupBy("k").agg({"t": "max"}))
+    assert done.count() == 7919 and spark.conf.get(setting) == was
+    for _ in range(50):
+        left = {k: n for k, n in shuffle_files(spark).items() if k not in before}
+        if sum(left.values()) < 50_000:
+            break
+        time.sleep(0.2)
+    assert sum(left.values()) < 50_000
+
+
+def test_suffix_removal_holds_one_step_on_disk(spark, monkeypatch):
+    """Stretches of text that stands twice are several times the text; they are gone when the
+    texts are cut, and those that no more than FAN batches have aren't sent twice."""
+    monkeypatch.setattr(suffix, "BATCH", 100_000)
+    monkeypatch.setattr(suffix, "FAN", 4)
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789 ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=5_000)) for _ in range(100)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts)], "doc_id long, text string")
+    before = set(shuffle_files(spark))
+    assert sum(r["n_removed"] for r in suffix.remove_repeats(df).select("n_removed").collect()) == 500_000
+    assert sum(n for k, n in shuffle_files(spark).items() if k not in before) < 2_000_000
+
+
+def test_only_anchors_of_many_batches_are_merged(monkeypatch):
+    import pyarrow as pa
+    import pyarrow.compute
+
+    monkeypatch.setattr(suffix, "FAN", 3)
+    monkeypatch.setattr(suffix, "BATCH", 1_000)
+    rnd = random.Random(7)
+    often, pair = ("".join(rnd.choice("abcdefgh ") for _ in range(120)) for _ in range(2))
+    plan = suffix.Plan(5_000, 50)
+    docs = [pa.table({"doc_id": pa.array([2 * b, 2 * b + 1], pa.int64()), "text": pa.array([often, pair if b < 2 else "x"]), "batch": pa.array([b, b], pa.int64())}) for b in range(5)]
+    asked = pa.concat_tables([plan.anchors(d) for d in docs])
+    told = pa.concat_tables([plan.twice(asked.filter(pa.compute.equal(asked.column("bucket"), k))) for k in set(asked.column("bucket").to_pylist())])
+    sent = [r for b, d in enumerate(docs) for r in plan.stretches(d, told.filter(pa.compute.equal(told.column("batch"), b))).to_pylist()]
+    assert {r["batch"] for r in sent} == set(range(5))
+    for r in sent:
+        windows = list(r["windows"])
+        parts, at = [], 0
+        for w in windows:
+            parts.append(r["bytes"][at : at + w + 49].decode())
+            at += w + 49
+        assert parts and all(x in (often if r["fan"] >= 0 else pair) for x in parts)
+        assert r["fan"] in (-1, r["batch"] // 3) and (r["fan"] >= 0) == (r["part"] >= plan.shards)
+
+
 def test_interval_expansion_finds_all_common_prefixes():
     rng = np.random.default_rng(3)
     for size, letters in ((300, 2), (2000, 3), (2000, 60)):
